@@ -43,23 +43,12 @@ def _half_pounds(price: Column) -> Column:
 
     Halves are exact in binary, so sums and means do not depend on row order.
     """
-    cents = F.round(price * 100).cast("bigint")
+    cents = F.rint(price * 100)
     return F.floor(cents / 7000.0 + 0.5) / 2.0
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as training entries of 25 athletes."""
-    items = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate"
-    )
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    joined = (
-        items.join(orders, items.l_orderkey == orders.o_orderkey)
-        .join(customers, orders.o_custkey == customers.c_custkey)
-        .join(parts, items.l_partkey == parts.p_partkey)
-    )
     c = F.col
     kind = c("p_type")
     exercise = (
@@ -71,25 +60,49 @@ def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "MEDIUM", "Deadlift")
         .otherwise("Leg Press")
     )
-    date = c("l_shipdate").cast("date")
+    # what depends on one dimension is computed there, not per order line
+    parts = (
+        table(spark, sf_dir, "part")
+        .select("p_partkey", exercise.alias("Exercise"))
+        .withColumn("Lift_Type", classify_lift(c("Exercise")))
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        "o_custkey",
+        F.concat(F.lit("Block "), F.year("o_orderdate")).alias("Block"),
+    )
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", c("c_nationkey").alias("athlete_id")
+    )
     skipped = (c("l_tax") == 0.08) & (c("l_returnflag") == "R")
-    no_load = skipped | ((c("l_tax") == 0.07) & (c("l_returnflag") == "N"))
-    no_rpe = (c("l_linestatus") == "O") & (c("l_tax") <= 0.02)
+    items = table(spark, sf_dir, "lineitem").withColumns(
+        {
+            "logged": ~skipped,
+            "weighed": ~skipped & ~((c("l_tax") == 0.07) & (c("l_returnflag") == "N")),
+            "rated": ~((c("l_linestatus") == "O") & (c("l_tax") <= 0.02)),
+            "Date": c("l_shipdate").cast("date"),
+        }
+    )
+    joined = (
+        items.join(orders, items.l_orderkey == orders.o_orderkey)
+        .join(customers, orders.o_custkey == customers.c_custkey)
+        .join(parts, items.l_partkey == parts.p_partkey)
+    )
     sets = c("l_linenumber") + F.when(c("l_quantity") == 50, 4).otherwise(0)
-    reps = c("l_quantity") % 12 + 1
-    rpe = F.round(5 + 50 * c("l_discount"), 1)
+    # halves from 5 to 10
+    rpe = F.rint(c("l_discount") * 100) / 2 + 5
     return joined.select(
-        c("c_nationkey").alias("athlete_id"),
-        date.alias("Date"),
-        F.concat(F.lit("Block "), F.year("o_orderdate")).alias("Block"),
-        F.concat(F.lit("Day "), F.weekday(date) + 1).alias("Day"),
-        exercise.alias("Exercise"),
-        F.when(~skipped, sets.cast("double")).alias("Sets"),
-        F.when(~skipped, reps.cast("double")).alias("Reps"),
-        F.when(~no_load, _half_pounds(c("l_extendedprice"))).alias("Load"),
-        F.when(~no_rpe, rpe).alias("RPE"),
+        "athlete_id",
+        "Date",
+        "Block",
+        F.concat(F.lit("Day "), F.weekday("Date") + 1).alias("Day"),
+        "Exercise",
+        F.when(c("logged"), sets.cast("double")).alias("Sets"),
+        F.when(c("logged"), c("l_quantity") % 12 + 1).alias("Reps"),
+        F.when(c("weighed"), _half_pounds(c("l_extendedprice"))).alias("Load"),
+        F.when(c("rated"), rpe).alias("RPE"),
         F.lit("").alias("Notes"),
-        classify_lift(exercise).alias("Lift_Type"),
+        "Lift_Type",
     )
 
 

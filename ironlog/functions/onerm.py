@@ -52,29 +52,40 @@ def lombardi(load: Column, reps: Column) -> Column:
 
 
 def rpe_percent(reps: Column, rpe: Column) -> Column:
-    """Table value after rounding both to whole numbers, halves to even."""
-    rep, eff = F.bround(reps, 0), F.bround(rpe, 0)
-    listed = rep.between(FIRST_REP, LAST_REP) & eff.between(FIRST_RPE, LAST_RPE)
-    width = LAST_RPE - FIRST_RPE + 1
-    slot = F.when(listed, (rep - FIRST_REP) * width + (eff - FIRST_RPE)).cast("int")
-    table = F.array(*[F.lit(p) for line in RPE_PERCENT for p in line])
-    return F.get(table, slot)
-
-
-def rpe_based(load: Column, reps: Column, rpe: Column) -> Column:
-    """Load over the table percentage; Epley where the table has no entry."""
-    known = load.isNotNull() & reps.isNotNull() & rpe.isNotNull()
-    return F.when(known, F.coalesce(load / rpe_percent(reps, rpe), epley(load, reps)))
-
-
-def best(load: Column, reps: Column, rpe: Column) -> Column:
-    """RPE table where it applies, else Brzycki up to ten reps, else Epley."""
-    low = reps.between(1, 10)
-    return (
-        F.when(low & rpe.isNotNull(), rpe_based(load, reps, rpe))
-        .when(low, brzycki(load, reps))
-        .otherwise(epley(load, reps))
-    )
+    """Table value after rounding both to whole numbers, halves to even.
+
+    Anything outside the table indexes outside the array, which gives null.
+    """
+    table = F.array(*[F.array(*map(F.lit, line)) for line in RPE_PERCENT])
+    line = (F.rint(reps) - FIRST_REP).try_cast("int")
+    column = (F.rint(rpe) - FIRST_RPE).try_cast("int")
+    return F.get(F.get(table, line), column)
+
+
+def rpe_based(
+    load: Column, reps: Column, rpe: Column, percent: Column | None = None
+) -> Column:
+    """Load over the table percentage; Epley where the table has no entry.
+
+    ``percent`` is the table value where a caller has it already.
+    """
+    if percent is None:
+        percent = rpe_percent(reps, rpe)
+    return F.when(rpe.isNotNull(), F.coalesce(load / percent, epley(load, reps)))
+
+
+def best(
+    load: Column, reps: Column, rpe: Column, percent: Column | None = None
+) -> Column:
+    """RPE table where it applies, else Brzycki up to ten reps, else Epley.
+
+    With an RPE outside the table, ten reps or fewer use Epley as well.
+    """
+    if percent is None:
+        percent = rpe_percent(reps, rpe)
+    # one to ten repetitions are always in the domain of the second formula
+    low = F.coalesce(load / percent, F.when(rpe.isNull(), load * (36 / (37 - reps))))
+    return F.coalesce(F.when(reps.between(1, 10), low), epley(load, reps))
 
 
 def estimate(method: str, load: Column, reps: Column, rpe: Column) -> Column:

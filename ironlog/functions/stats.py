@@ -19,14 +19,20 @@ def share(part: Column, whole: Column) -> Column:
     return 100.0 * part / F.nullif(whole, F.lit(0))
 
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation; null when either side is constant or has a gap.
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson correlation of the complete pairs; null when a side is constant.
 
     The built-in ``corr`` raises a division error on constants in ANSI mode.
+    ``x`` must be null wherever ``y`` is, and the other way round.
     """
     spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation; null when either side is constant or has a gap."""
     whole = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) == F.count(F.lit(1))
-    return F.when(whole, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+    return F.when(whole, pearson(x, y))
 
 
 def top_rows(

@@ -24,18 +24,37 @@ def _since(as_of: str, days: int) -> Column:
 
 
 def _recent(log: DataFrame, as_of: str, months_back: int) -> DataFrame:
+    """Rows of the last months.
+
+    Whether a row has a positive estimate is decided inside the aggregates that
+    follow: as a filter it would be pushed to the scan and compute every
+    estimate twice.
+    """
     cutoff = _since(as_of, months_back * DAYS_PER_DIAGNOSTIC_MONTH)
-    return log.filter((F.col("Date") >= cutoff) & (F.col(ESTIMATE) > 0))
+    return log.filter(F.col("Date") >= cutoff)
+
+
+def _valid(column: str) -> Column:
+    return F.when(F.col(ESTIMATE) > 0, F.col(column))
 
 
 def _daily(
     log: DataFrame, as_of: str, months_back: int, keys: Sequence[str]
 ) -> DataFrame:
-    """Best estimate and load per recent day: at most one row per day and key."""
+    """Best estimate, top load and first exercise of each recent day.
+
+    At most one row per calendar day and key.  Rows have no order of their own;
+    "first" is the alphabetically first name.
+    """
     return (
         _recent(log, as_of, months_back)
         .groupBy(*keys, "Date")
-        .agg(F.max(ESTIMATE).alias(ESTIMATE), F.max("Load").alias("Load"))
+        .agg(
+            F.max(_valid(ESTIMATE)).alias(ESTIMATE),
+            F.max(_valid("Load")).alias("Load"),
+            F.min(_valid("Exercise")).alias("Exercise"),
+        )
+        .filter(F.col(ESTIMATE).isNotNull())
     )
 
 
@@ -46,19 +65,8 @@ def recent_daily(
     n: int = 10,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Last ``n`` training days: best estimate, heaviest load, first exercise.
-
-    Rows have no order of their own; "first" is the alphabetically first name.
-    """
-    daily = (
-        _recent(log, as_of, months_back)
-        .groupBy(*keys, "Date")
-        .agg(
-            F.max(ESTIMATE).alias(ESTIMATE),
-            F.max("Load").alias("Load"),
-            F.min("Exercise").alias("Exercise"),
-        )
-    )
+    """Last ``n`` training days: best estimate, heaviest load, first exercise."""
+    daily = _daily(log, as_of, months_back, keys)
     return top_rows(daily, keys, [F.desc("Date")], n)
 
 
@@ -107,7 +115,13 @@ def exercise_variants(
 
     The list is kept as rows because its length is not bounded.
     """
-    names = _recent(log, as_of, months_back).select(*keys, "Exercise").distinct()
+    names = (
+        _recent(log, as_of, months_back)
+        .groupBy(*keys, "Exercise")
+        .agg(F.count(_valid(ESTIMATE)).alias("_rows"))
+        .filter(F.col("_rows") > 0)
+        .drop("_rows")
+    )
     counts = names.groupBy(*keys).agg(F.count("Exercise").alias("n_exercises"))
     return names.join(counts, list(keys)).withColumn(
         "several", F.col("n_exercises") > 1
@@ -145,9 +159,10 @@ def rep_breakdown(
         .filter(F.col("Reps").isNotNull())
         .groupBy(*keys, "Reps")
         .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.bround(F.avg(ESTIMATE), decimals).alias("mean"),
+            F.count(_valid(ESTIMATE)).alias("count"),
+            F.bround(F.avg(_valid(ESTIMATE)), decimals).alias("mean"),
         )
+        .filter(F.col("count") > 0)
     )
 
 

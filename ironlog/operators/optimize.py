@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ironlog.functions.stats import safe_corr, top_rows, volume
+from ironlog.functions.stats import pearson, safe_corr, top_rows, volume
 from ironlog.keys import KEYS
 from ironlog.operators.onerm import ESTIMATE
 from ironlog.operators.progress import week_of
@@ -44,18 +44,23 @@ def rep_band_stats(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     for number, (label, low, high) in enumerate(REP_BANDS, start=1):
         band = F.when(reps.between(low, high), number).otherwise(band)
         name = F.when(F.col("band_no") == number, label).otherwise(name)
-    # a correlation does not depend on the day that is counted from
-    day = F.datediff("Date", F.lit("2000-01-01").cast("date")).cast("double")
+    # A correlation does not depend on the day that is counted from.  Rows
+    # without an estimate are left out inside the aggregates, not by a filter
+    # that would compute every estimate a second time.
+    est = F.col(ESTIMATE)
+    date = F.when(est.isNotNull(), F.col("Date"))
+    day = F.datediff(date, F.lit("2000-01-01").cast("date")).cast("double")
+    known = F.when(est.isNotNull(), volume())
     return (
         log.withColumn("band_no", band)
-        .filter(F.col("band_no").isNotNull() & F.col(ESTIMATE).isNotNull())
+        .filter(F.col("band_no").isNotNull())
         .groupBy(*keys, "band_no")
         .agg(
-            safe_corr(day, F.col(ESTIMATE)).alias("_corr"),
-            (F.min("Date") == F.max("Date")).alias("_one_day"),
-            F.avg(ESTIMATE).alias("average_1rm"),
-            F.coalesce(F.sum(volume()), F.lit(0.0)).alias("total_volume"),
-            F.count(F.lit(1)).alias("session_count"),
+            pearson(day, est).alias("_corr"),
+            (F.min(date) == F.max(date)).alias("_one_day"),
+            F.avg(est).alias("average_1rm"),
+            F.coalesce(F.sum(known), F.lit(0.0)).alias("total_volume"),
+            F.count(est).alias("session_count"),
         )
         .filter(F.col("session_count") >= MIN_BAND_ROWS)
         .select(

@@ -48,10 +48,14 @@ def rm_progression(
 ) -> DataFrame:
     """Best estimate of a method per day and series."""
     column = ESTIMATE if method == "best" else f"1rm_{method}"
-    rows = log.filter(F.col(column).isNotNull())
-    if lift is not None:
-        rows = rows.filter(F.col(LIFT) == lift)
-    return rows.groupBy(*keys, "Date").agg(F.max(column).alias(ESTIMATE))
+    rows = log if lift is None else log.filter(F.col(LIFT) == lift)
+    # missing estimates are left out after the aggregation: a filter before it
+    # would be pushed to the scan and compute every estimate twice
+    return (
+        rows.groupBy(*keys, "Date")
+        .agg(F.max(column).alias(ESTIMATE))
+        .filter(F.col(ESTIMATE).isNotNull())
+    )
 
 
 def max_1rm_by_lift(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -189,6 +193,7 @@ def progression_series(
 ) -> DataFrame:
     """Daily best estimate in a date range, without days far below the median."""
     load, reps, rpe = F.col("Load"), F.col("Reps"), F.col("RPE")
+    est = F.col(ESTIMATE)
     daily = (
         log.filter(
             F.col(LIFT).isin(*lifts)
@@ -197,9 +202,9 @@ def progression_series(
             & (reps > 0)
         )
         .withColumn(ESTIMATE, onerm.estimate(method, load, reps, rpe))
-        .filter((F.col(ESTIMATE) > 0) & (F.col(ESTIMATE) < 1000))
         .groupBy(*keys, "Date")
-        .agg(F.max(ESTIMATE).alias(ESTIMATE))
+        .agg(F.max(F.when((est > 0) & (est < 1000), est)).alias(ESTIMATE))
+        .filter(est.isNotNull())
     )
     series = W.partitionBy(*keys)
     # a single day is its own median, so it always stays
