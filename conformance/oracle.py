@@ -256,7 +256,12 @@ bounds AS (SELECT {_KEYS}, avg(est) AS mu, stddev_samp(est) AS sd FROM low
   GROUP BY ALL),
 series AS (SELECT {_KEYS}, "Date", max(est) AS est FROM low
   JOIN bounds USING ({_KEYS}) WHERE abs(est - mu) <= 2 * sd GROUP BY ALL)"""
-ROBUST_FIT = FILTERED + "," + _fit("series") + "," + _chosen("every_key", True)
+FILTERED_KEYS = FILTERED + f""",
+every_fit AS (SELECT * EXCLUDE (main_exercise, entries),
+    CASE WHEN EXISTS (SELECT 1 FROM series s WHERE s.athlete_id = k.athlete_id
+      AND s."Lift_Type" = k."Lift_Type") THEN main_exercise END AS main_exercise
+  FROM every_key k)"""
+ROBUST_FIT = FILTERED_KEYS + "," + _fit("series") + "," + _chosen("every_fit", True)
 
 _FIT_SHOWN = (
     "n AS data_points, round(current_1rm, 4) AS current_1rm, model_type,"

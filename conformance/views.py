@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ironlog.functions.parsing import classify_lift
 from ironlog.operators.normalize import HEADER_ROW, OFFSETS, WEEK_WIDTH
+from ironlog.sources.readers import read_exploded_cells
 
 # "Now" of every report: the day after the newest possible entry.
 AS_OF = "2002-01-01"
@@ -181,7 +182,21 @@ _LANES = 64
 _DAY_ROWS = 10**12
 
 
+# Grids already stored, per application and table folder.
+_stored: dict[tuple[str, str], str] = {}
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids as a stored table, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = scratch(spark, "cells")
+        derived_cells(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    return read_exploded_cells(spark, _stored[key], fmt="parquet")
+
+
+def derived_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training log laid out as grids: the inverse of ``normalize``.
 
     One sheet per athlete and block, one week per twelve columns, one label row

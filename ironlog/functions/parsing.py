@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy-M-d H:m:s")
 
 # A day label starts with "day" and a number.
-DAY_LABEL = r"^day\s*\d+"
-DAY_NUMBER = r"day\s*(\d+)"
+DAY_LABEL = r"(?i)^\s*day\s*\d+"
+DAY_NUMBER = r"(?i)day\s*(\d+)"
 
 
 def strip(text: Column) -> Column:
@@ -29,11 +29,11 @@ def clean_numeric(text: Column) -> Column:
 
 
 def is_day_label(text: Column) -> Column:
-    return F.lower(strip(text)).rlike(DAY_LABEL)
+    return text.rlike(DAY_LABEL)
 
 
 def day_number(label: Column) -> Column:
-    digits = F.regexp_extract(F.lower(strip(label)), DAY_NUMBER, 1)
+    digits = F.regexp_extract(label, DAY_NUMBER, 1)
     return F.nullif(digits, F.lit("")).try_cast("int")
 
 

@@ -66,25 +66,35 @@ def week_cells(cells: DataFrame, sheet: Sequence[str] = SHEET) -> DataFrame:
     return data.join(columns, [*sheet, "col_idx"])
 
 
+def _week(sheet: Sequence[str]) -> list[str]:
+    """What identifies a week of a sheet."""
+    return [*sheet, "base_col", "week_start"]
+
+
 def grid_rows(
     cells: DataFrame, sheet: Sequence[str] = SHEET, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """One row per sheet row and week: its label (if any) and entry fields.
 
-    Distributed by (sheet, week, chunk of rows) once; the grouping here and the
-    label fill afterwards both use that distribution and its sort order.
+    Distributed by (week of a sheet, chunk of rows) once; the grouping here and
+    the label fill afterwards both use that distribution and its sort order.
     """
-    group = [*sheet, "base_col", "chunk"]
-    placed = week_cells(cells, sheet).withColumn(
-        "chunk", F.floor(F.col("row_idx") / chunk_rows)
+    group = [*_week(sheet), "chunk"]
+    placed = week_cells(cells, sheet).withColumns(
+        {
+            # never null, so that both uses of the rows keep the same filters
+            # and share one shuffle
+            "chunk": F.coalesce(F.floor(F.col("row_idx") / chunk_rows), F.lit(0)),
+            "is_label": is_day_label(F.col("value")),
+        }
     )
-    label = F.when(is_day_label(F.col("value")), strip(F.col("value")))
+    label = F.when(F.col("is_label"), strip(F.col("value")))
+    place = F.when(F.col("is_label"), F.col("offset"))
     return (
         placed.repartition(*group)
         .groupBy(*group, "row_idx")
         .agg(
-            F.min("week_start").alias("week_start"),
-            F.min_by(label, F.when(label.isNotNull(), F.col("offset"))).alias("label"),
+            F.min_by(label, place).alias("label"),
             *[
                 F.max(F.when(F.col("offset") == k, F.col("value"))).alias(name)
                 for name, k in OFFSETS.items()
@@ -98,7 +108,7 @@ def labelled_rows(
 ) -> DataFrame:
     """Grid rows with the day label above them; label rows themselves removed."""
     rows = grid_rows(cells, sheet, chunk_rows)
-    week = [*sheet, "base_col"]
+    week = _week(sheet)
     group = [*week, "chunk"]
 
     above = (

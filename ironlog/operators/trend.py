@@ -203,7 +203,7 @@ def _filtered_daily(
             (F.col("Date") >= F.col("cutoff"))
             & (F.abs(est - F.col("center")) <= F.col("reach"))
         )
-        .groupBy(*keys, "Date")
+        .groupBy(*keys, F.col("Exercise").alias("main_exercise"), "Date")
         .agg(F.max(ESTIMATE).alias(ESTIMATE))
     )
 
@@ -265,11 +265,13 @@ def trend_fit_robust(
     log: DataFrame, days_back: int = 180, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Straight line on the filtered series; quadratic only if clearly better."""
+    by = [*keys, "main_exercise"]
     stats = _main_exercise_stats(log, days_back, keys)
     daily = _filtered_daily(log, stats, keys)
-    sums = polyfit.power_sums(daily, keys, F.lit(True), ESTIMATE)
-    fit = _finish_fit(sums, keys, robust=True)
-    every_key = stats.select(*keys, "main_exercise")
+    sums = polyfit.power_sums(daily, by, F.lit(True), ESTIMATE)
+    fit = _finish_fit(sums, by, robust=True)
+    # reads the key columns only
+    every_key = log.select(*keys).distinct()
     return every_key.join(fit, list(keys), "left").withColumns(
         {
             "data_points": F.coalesce("data_points", F.lit(0)),
