@@ -48,7 +48,7 @@ def week_columns(cells: DataFrame, sheet: Sequence[str] = SHEET) -> DataFrame:
             F.col("col_idx").alias("base_col"),
             parse_date_multi(F.col("value")).alias("week_start"),
         )
-        .filter(F.col("week_start").isNotNull())
+        .filter(F.col("week_start").isNotNull() & F.col("base_col").isNotNull())
     )
 
 
