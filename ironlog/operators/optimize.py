@@ -138,26 +138,32 @@ def frequency_stats(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def optimal_frequency(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Frequency with the highest mean, and how often the lift is trained."""
-    overall = (
+    """Frequency with the highest mean, and how often the lift is trained.
+
+    One pass: the weekly table is summed up per number of sessions, and those
+    few rows per key give both the overall figures and the winner.
+    """
+    sessions, weeks = F.col("Sessions"), F.col("weeks")
+    per_frequency = (
         weekly_sessions(log, keys)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("weeks"),
-            F.avg("Sessions").alias("average_frequency"),
-            F.concat_ws("-", F.min("Sessions"), F.max("Sessions")).alias(
-                "frequency_range"
-            ),
-        )
+        .groupBy(*keys, "Sessions")
+        .agg(F.avg("Best_1RM").alias("average_1rm"), F.count(F.lit(1)).alias("weeks"))
+    )
+    candidate = (weeks >= 2) & sessions.between(1, MAX_SESSIONS)
+    # highest mean first, missing means last, then the lowest frequency
+    order = F.struct(
+        F.col("average_1rm").isNull(), -F.col("average_1rm"), sessions.alias("n")
     )
-    order = [F.desc_nulls_last("average_1rm"), F.asc("Sessions")]
-    best = top_rows(frequency_stats(log, keys), keys, order).select(
-        *keys, F.col("Sessions").alias("optimal_frequency")
+    enough = F.col("_weeks") >= MIN_WEEKS
+    overall = per_frequency.groupBy(*keys).agg(
+        F.sum(weeks).alias("_weeks"),
+        (F.sum(weeks * sessions) / F.sum(weeks)).alias("average_frequency"),
+        F.concat_ws("-", F.min(sessions), F.max(sessions)).alias("frequency_range"),
+        F.min(F.when(candidate, order)).alias("_best"),
     )
-    enough = F.col("weeks") >= MIN_WEEKS
-    return overall.join(best, list(keys), "left").select(
+    return overall.select(
         *keys,
-        "optimal_frequency",
+        F.when(enough, F.col("_best.n")).alias("optimal_frequency"),
         F.when(enough, F.col("average_frequency")).alias("average_frequency"),
         F.when(enough, F.col("frequency_range")).alias("frequency_range"),
         F.when(enough, "ok").otherwise("insufficient").alias("status"),
