@@ -421,6 +421,15 @@ def _clean(source: str, ctes: str) -> str:
     return _with(ctes, f"SELECT {_LOG_COLUMNS} FROM {source} WHERE {_CLEAN_REASON} IS NULL")
 
 
+def _sample(condition: str, n: int, seed: int) -> str:
+    text = ", ".join(f"CAST({c.strip()} AS VARCHAR)" for c in _LOG_COLUMNS.split(","))
+    return _with(
+        LOG,
+        f"SELECT {_LOG_COLUMNS} FROM log WHERE {condition}"
+        f" ORDER BY md5(concat_ws('|', {text}, '{seed}')) LIMIT {n}",
+    )
+
+
 def _text(column: str) -> str:
     """A number as the grid shows it: always with a decimal point."""
     return f'CAST(CAST("{column}" AS DOUBLE) AS VARCHAR)'
@@ -615,6 +624,8 @@ ORDER BY entries DESC, "Block" LIMIT 10""",
             f"""SELECT {_LOG_COLUMNS} FROM log
 WHERE regexp_matches("Exercise", '(?i)bar|^rd')""",
         ),
+        "sample_rows": _sample("true", 25, 7),
+        "show_exercise_examples": _sample("\"Exercise\" ILIKE '%press%'", 25, 7),
         "reconcile_raw": _with(
             LOG,
             """SELECT DISTINCT athlete_id, "Block" AS block, "Date", "Exercise",
