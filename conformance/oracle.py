@@ -463,7 +463,7 @@ SELECT 'Lifter ' || o_custkey AS "Name",
   CASE WHEN o_orderkey % 9 <> 0 THEN CAST(price AS DOUBLE) END AS "Best3SquatKg"
 FROM t""",
         "write_log": _with(RM, _annotated("rm")),
-        "ingest_pipeline": _clean("log", LOG),
+        "ingest_grids": _clean("log", LOG),
         "incremental_ingest": _clean("log", LOG),
         # normalisation
         "week_columns": _with(

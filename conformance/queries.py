@@ -27,7 +27,7 @@ from ironlog.operators import (
     trend,
 )
 from ironlog.operators.onerm import main_lifts, with_1rm, with_1rm_strict
-from ironlog.plans.ingest import ingest_pipeline
+from ironlog.plans.ingest import ingest_grids
 from ironlog.sources import readers, writers
 from ironlog.streaming.incremental import incremental_ingest, read_ingested
 
@@ -123,7 +123,7 @@ def write_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, d: str) -> DataFrame:
-    out = ingest_pipeline(
+    out = ingest_grids(
         views.cells(spark, d), views.scratch(spark, "ingest"), run="first"
     )
     return comparable(spark.read.parquet(out["validated"]))
@@ -310,7 +310,7 @@ def registry() -> dict[str, Query]:
         "read_cells": read_cells,
         "read_meets": read_meets,
         "write_log": write_log,
-        "ingest_pipeline": ingest,
+        "ingest_grids": ingest,
         "incremental_ingest": incremental,
         # normalisation
         "week_columns": _cells(normalize.week_columns),

@@ -14,7 +14,7 @@ from ironlog.sources.writers import write_log
 RAW, VALIDATED = "workout_log_normalized_", "workout_log_validated_"
 
 
-def ingest_pipeline(
+def ingest_grids(
     cells: DataFrame,
     out_dir: str,
     run: str,

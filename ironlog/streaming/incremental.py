@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ironlog.operators.normalize import SHEET
-from ironlog.plans.ingest import RAW, VALIDATED, ingest_pipeline
+from ironlog.plans.ingest import RAW, VALIDATED, ingest_grids
 from ironlog.sources import schemas
 
 
@@ -32,7 +32,7 @@ def incremental_ingest(
     """
 
     def load(batch: DataFrame, number: int) -> None:
-        ingest_pipeline(
+        ingest_grids(
             batch,
             out_dir,
             run=f"batch={number:08d}",

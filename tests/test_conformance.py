@@ -16,7 +16,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLE = registry(), statements()
 # Queries that write and read files before they return.
 EAGER = {
-    "read_log", "read_cells", "read_meets", "write_log", "ingest_pipeline",
+    "read_log", "read_cells", "read_meets", "write_log", "ingest_grids",
     "incremental_ingest",
 }
 TYPES = {

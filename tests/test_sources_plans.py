@@ -2,7 +2,7 @@ import pytest
 
 from ironlog.operators.quality import clean_dataset
 from ironlog.operators.normalize import normalize
-from ironlog.plans.ingest import ingest_pipeline
+from ironlog.plans.ingest import ingest_grids
 from ironlog.sources import readers, schemas, writers
 from ironlog.streaming.incremental import incremental_ingest, read_ingested
 from tests.helpers import D, entry, log_rows, rows
@@ -58,21 +58,21 @@ def test_output_names():
     assert writers.output_path("x/log/", "clean") == "x/log_clean"
 
 
-def test_pipeline(spark, tmp_path):
+def test_ingest(spark, tmp_path):
     cells = _cells(spark, "A", "Squat", "Exercise", "Bench")
-    out = ingest_pipeline(cells, str(tmp_path), run="r1")
+    out = ingest_grids(cells, str(tmp_path), run="r1")
     assert out["entries"] == 2
     raw = spark.read.parquet(out["raw"])
     assert raw.count() == 3
     assert spark.read.parquet(out["validated"]).count() == clean_dataset(
         normalize(cells), remove_suspicious=True
     ).count()
-    plain = ingest_pipeline(
+    plain = ingest_grids(
         cells, str(tmp_path), run="r1", apply_validation=False, output_suffix="_raw"
     )
     assert plain["entries"] == 3 and "validated" not in plain
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
-        ingest_pipeline(cells, str(tmp_path), run="r1")
+        ingest_grids(cells, str(tmp_path), run="r1")
 
 
 def test_incremental(spark, tmp_path):
