@@ -167,12 +167,20 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough; sets are made for the documents of the pairs only."""
+def shingle_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) for the documents of the pairs only, written once.
+
+    The texts always meet the ids in a shuffle: the ids grow with the input, so they are not broadcast.
+    """
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = only(docs, "doc_id", "text").join(needed, "doc_id", "left_semi")
+    texts = only(docs, "doc_id", "text").hint("merge").join(needed, "doc_id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = stored(texts.mapInArrow(_sets, f"node {kind}, shingles binary"), "shingles")
+    return stored(texts.mapInArrow(_sets, f"node {kind}, shingles binary"), "shingles")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough."""
+    kind = sets.schema["node"].dataType.simpleString()
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
@@ -199,13 +207,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.max_by("b", F.struct("alike", -F.col("b"))).alias("b")
     )
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = stored(confirmed(best, docs, percent), "links")
+    sets = shingle_sets(pairs, docs)
+    first = stored(confirmed(best, sets, percent), "links")
     known = stored(components(first, "a", "b"), "known")
     tried = pairs.join(best, ["a", "b"], "left_anti")
     roots = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root"))
     tried = tried.join(roots("a"), "a", "left").join(roots("b"), "b", "left")
     apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
-    second = stored(confirmed(stored(tried.where(apart).select("a", "b"), "apart"), docs, percent), "links")
+    second = stored(confirmed(stored(tried.where(apart).select("a", "b"), "apart"), sets, percent), "links")
     same = rows.where("doc_id IS NOT NULL").join(nodes.select(*marks, "node"), marks).where("doc_id <> node")
     repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = same.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
