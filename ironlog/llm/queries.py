@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ironlog.llm import exact_dedup, minhash_forest
+from ironlog.llm import bpe, exact_dedup, minhash_forest, quality
 from ironlog.llm.common import table
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_chunk_recipes, op10_minhash_forest)
+    found = (op1_additive_quality, op3_chunk_recipes, op4_byte_bpe, op10_minhash_forest)
     return {f.__name__: f for f in found}
 
 
