@@ -6,8 +6,8 @@ import base64
 import hashlib
 import os
 import re
-import struct
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,9 +22,7 @@ from ironlog.llm.common import only
 #: Encoded pieces that a worker remembers; beyond that, it starts to remember anew.
 MEMORY = 400_000
 #: Finds characters from U+0800 on; none before that are open.
-_BEYOND = re.compile("[\u0800-\U0010ffff]").search
-#: Packers of short id lists.
-_PACK = [struct.Struct(f"={n}i").pack for n in range(32)]
+_BEYOND = re.compile("[\u0800-\U0010ffff]")
 
 
 def byte_characters() -> list[str]:
@@ -107,7 +105,7 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def _is_later(self, text: str) -> bool:
-        if text.isascii() or _BEYOND(text) is None:
+        if text.isascii() or _BEYOND.search(text) is None:
             return False
         if self.later is None:
             self.later = _later_characters()
@@ -123,8 +121,7 @@ class Codec:
             new = set().union(*pieces)
         names = list(new)
         for piece, found in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-            ids = found.ids
-            self.known[piece] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, np.int32).tobytes()
+            self.known[piece] = array("i", found.ids).tobytes()
         known = self.known.__getitem__
         return [
             np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
