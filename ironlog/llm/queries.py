@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ironlog.llm import bpe, exact_dedup, minhash_forest, quality
+from ironlog.llm import bpe, exact_dedup, minhash_forest, mixture, quality
 from ironlog.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_additive_quality, op3_chunk_recipes, op4_byte_bpe, op10_minhash_forest)
+    found = (op1_additive_quality, op3_chunk_recipes, op4_byte_bpe, op9_source_mixture, op10_minhash_forest)
     return {f.__name__: f for f in found}
 
 
