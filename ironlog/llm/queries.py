@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ironlog.llm import bpe, exact_dedup, minhash_forest, mixture, quality
+from ironlog.llm import bpe, exact_dedup, minhash_forest, mixture, quality, sharding
 from ironlog.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op3_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_additive_quality, op3_chunk_recipes, op4_byte_bpe, op9_source_mixture, op10_minhash_forest)
+    found = (op1_additive_quality, op2_byte_shards, op3_chunk_recipes, op4_byte_bpe, op9_source_mixture, op10_minhash_forest)
     return {f.__name__: f for f in found}
 
 
