@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ironlog.llm import bpe, exact_dedup, minhash_forest, mixture, quality, sharding
+from ironlog.llm import bpe, exact_dedup, html_text, minhash_forest, mixture, quality, sharding, warc
 from ironlog.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"))
 
@@ -39,9 +47,9 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_additive_quality, op2_byte_shards, op3_chunk_recipes, op4_byte_bpe, op9_source_mixture, op10_minhash_forest)
+    found = (op1_additive_quality, op2_byte_shards, op3_chunk_recipes, op4_byte_bpe, op6_line_blocks, op7_warc_salvage, op9_source_mixture, op10_minhash_forest)
     return {f.__name__: f for f in found}
 
 
 def statements() -> dict[str, str]:
-    return {"op3_chunk_recipes": exact_dedup.ORACLE}
+    return {"op3_chunk_recipes": exact_dedup.ORACLE, "op7_warc_salvage": warc.ORACLE}
