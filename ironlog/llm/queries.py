@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ironlog.llm import bpe, exact_dedup, html_text, minhash_forest, mixture, quality, sharding, warc
+from ironlog.llm import bpe, exact_dedup, html_text, minhash_forest, mixture, quality, sharding, vector_dups, warc
 from ironlog.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_additive_quality, op2_byte_shards, op3_chunk_recipes, op4_byte_bpe, op6_line_blocks, op7_warc_salvage, op9_source_mixture, op10_minhash_forest)
+    found = (op1_additive_quality, op2_byte_shards, op3_chunk_recipes, op4_byte_bpe, op6_line_blocks, op7_warc_salvage, op8_projection_forest, op9_source_mixture, op10_minhash_forest)
     return {f.__name__: f for f in found}
 
 
