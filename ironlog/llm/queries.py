@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ironlog.llm import bpe, exact_dedup, html_text, minhash_forest, mixture, quality, sharding, vector_dups, warc
+from ironlog.llm import bpe, exact_dedup, html_text, minhash_forest, mixture, ngram_lm, quality, sharding, vector_dups, warc
 from ironlog.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_additive_quality, op2_byte_shards, op3_chunk_recipes, op4_byte_bpe, op6_line_blocks, op7_warc_salvage, op8_projection_forest, op9_source_mixture, op10_minhash_forest)
+    found = (op1_additive_quality, op2_byte_shards, op3_chunk_recipes, op4_byte_bpe, op5_elias_fano_lm, op6_line_blocks, op7_warc_salvage, op8_projection_forest, op9_source_mixture, op10_minhash_forest)
     return {f.__name__: f for f in found}
 
 
