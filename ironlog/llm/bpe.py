@@ -218,12 +218,21 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_name: str =
     return only(encoded, id_name, "ids").mapInArrow(run, f"{id_name} {of}, data binary, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, then decoded from the ids alone.
 
+    ``keep_ids`` adds the ids themselves as ``ids``.
+
     Null and empty texts have no tokens and the digests of nothing.  Rows are independent, so repeated rows give
     equal results and an empty table an empty one.
     """
+    fields = [
+        T.StructField("doc_id", docs.schema["doc_id"].dataType),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", T.StringType()),
+        T.StructField("decoded_sha256", T.StringType()),
+        *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []),
+    ]
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(ranks_path)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,20 +240,15 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         names = [str(i) for i in range(len(codec.bytes_of))].__getitem__
         for batch in _batches(rows):
             counts, marks, texts = [], [], []
-            for ids in codec.encode([_clean(t) for t in batch.column(1).to_pylist()]):
+            found = codec.encode([_clean(t) for t in batch.column(1).to_pylist()])
+            for ids in found:
                 ids = ids.tolist()
                 counts.append(len(ids))
                 marks.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
                 texts.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.string()), pa.array(texts, pa.string())]
+            if keep_ids:
+                columns.append(pa.array(found, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    fields = [
-        T.StructField("doc_id", docs.schema["doc_id"].dataType),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids_sha256", T.StringType()),
-        T.StructField("decoded_sha256", T.StringType()),
-    ]
     return only(docs, "doc_id", "text").mapInArrow(run, T.StructType(fields))
