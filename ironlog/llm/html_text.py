@@ -55,9 +55,9 @@ def _marked(more: str) -> bool:
     """Do class, id or role say that this is not the article?"""
     for m in _NAMES.finditer(more):
         value = m[1] or m[2] or m[3] or ""
-        for word in _WORD.findall(value):
-            if word.lower() in _MARKS:
-                return True
+        names = [*_WORD.findall(value), *re.sub("[-_]", "", value).split()]
+        if any(n.lower() in _MARKS for n in names):
+            return True
     return False
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ironlog.llm.common import SPACE, only, stored
 from ironlog.llm.running import with_start
@@ -43,7 +44,7 @@ def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _slot(block: pd.Series, blocks: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series(permuted(block.to_numpy(np.int64), np.maximum(blocks.to_numpy(np.int64), 1), seed.to_numpy(np.int64)))
 

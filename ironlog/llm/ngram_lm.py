@@ -6,6 +6,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from math import ceil
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -52,13 +53,14 @@ def _blocks(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         local = rank[at]
-        train = np.repeat(np.array([not _held(i) for i in ids]), lengths)
-        counts = np.bincount(local[train], minlength=len(vocab)).astype(np.int32)
+        held = np.array([_held(i) for i in ids])
+        counts = np.bincount(local[np.repeat(~held, lengths)], minlength=len(vocab)).astype(np.int32)
         row = [
-            pa.array([uuid.uuid4().int >> 66], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([_pack(lengths)]), pa.array([len(local)], pa.int64()),
+            pa.array([uuid.uuid4().int >> 66], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([len(ids)], pa.int64()),
+            pa.array([held.tobytes()]), pa.array([_pack(lengths)]), pa.array([len(local)], pa.int64()),
             pa.array([_pack(local)], pa.binary()), pa.array([len(vocab)], pa.int64()), pa.array([vocab[order].tobytes()], pa.binary()), pa.array([_pack(counts)], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(row, ["block", "ids", "lengths", "tokens", "local", "words", "vocab", "counts"])
+        return pa.RecordBatch.from_arrays(row, ["block", "ids", "docs", "held", "lengths", "tokens", "local", "words", "vocab", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tokens, held = [], [], 0
@@ -113,7 +115,7 @@ class _Block:
     """A block's tokens with the numbers and training counts of its words, and its distinct bigrams."""
 
     def __init__(self, r: object, shards: int) -> None:
-        self.lengths = _unpack(r.lengths, np.int32, len(r.ids))
+        self.lengths = _unpack(r.lengths, np.int32, r.docs)
         self.local = _unpack(r.local, np.int32, r.tokens)
         vocab = np.frombuffer(r.vocab, _U)
         to = ((vocab >> _U(33)) % _U(shards)).astype(np.int64)
@@ -121,7 +123,7 @@ class _Block:
         for x in r.replies:
             own = to == x["shard"]
             self.number[own], self.total[own] = _unpack(x["number"], np.int64, x["n"]), _unpack(x["total"], np.int64, x["n"])
-        self.held = np.array([_held(i) for i in r.ids])
+        self.held = np.frombuffer(r.held, bool)
         self.ends = np.cumsum(self.lengths)
         self.begins = self.ends - self.lengths
         # A text's last token is the end; it is also what comes before the first.
@@ -262,10 +264,13 @@ def bigram_weights(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(word_shards: int, shards: int, tokens: int, words: int, mixture: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples():
+def _score(word_shards: int, shards: int, tokens: int, words: int, mixture: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("ids")
+            others = batch.drop_columns(["ids"])
+            for i in range(batch.num_rows):
+                r = SimpleNamespace(**others.slice(i, 1).to_pylist()[0])
                 b = _Block(r, word_shards)
                 order, cuts = b.dealt(shards, tokens)
                 q = np.zeros(len(order))
@@ -277,13 +282,12 @@ def _score(word_shards: int, shards: int, tokens: int, words: int, mixture: np.n
                 part = np.where(cu > 0, mixture[np.minimum(np.log2(np.maximum(cu, 1)).astype(np.int64), CONTEXT_BINS - 1)], 0.0)
                 left = 1 - part * cu / (cu + RESERVE)
                 log_pair = np.log10(part * q + left * base[b.w])
-                add = lambda x: np.add.reduceat(x, b.begins)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": r.ids, "held_out": b.held, "n_tokens": b.lengths.astype(np.int64), "n_known": add((b.total[b.local] > 0).astype(np.int64)),
-                        "train_tokens": tokens, "base_score": add(np.log10(base)[b.local]), "score": add(log_pair[b.pair]),
-                    }
-                )
+                add = lambda x: pa.array(np.add.reduceat(x, b.begins))
+                columns = [
+                    batch.column(place)[i].values, pa.array(b.held), pa.array(b.lengths.astype(np.int64)), add((b.total[b.local] > 0).astype(np.int64)),
+                    pa.array(np.full(len(b.lengths), tokens)), add(np.log10(base)[b.local]), add(log_pair[b.pair]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -305,7 +309,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = only(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType
     as_text = kind.simpleString()
-    made = f"block long, ids array<{as_text}>, lengths binary, tokens long, local binary, words long, vocab binary, counts binary"
+    made = f"block long, ids array<{as_text}>, docs long, held binary, lengths binary, tokens long, local binary, words long, vocab binary, counts binary"
     blocks = stored(docs.mapInArrow(_blocks(to_arrow_type(kind)), made), "blocks")
     entries, tokens_all = blocks.agg(F.sum("words"), F.sum("tokens")).first()
     schema = T.StructType(
@@ -323,7 +327,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     replies = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n", "number", "total")).alias("replies"))
     numbered = blocks.drop("counts").join(replies, "block")
 
-    pairs = numbered.mapInPandas(_split_pairs(word_shards, pair_shards, tokens, words), _PAIRS)
+    pairs = numbered.drop("ids").mapInPandas(_split_pairs(word_shards, pair_shards, tokens, words), _PAIRS)
     answered = pairs.groupBy("shard").applyInPandas(_answer, "block long, shard long, n long, codes binary, book array<double>, weights array<double>, sums array<double>")
     answered = stored(answered, "answers")
     bins = answered.where("block < 0").select(F.posexplode(F.arrays_zip("weights", "sums")).alias("at", "x")).groupBy("at").agg(F.sum("x.weights").alias("n"), F.sum("x.sums").alias("s"))
@@ -332,4 +336,4 @@ def score_documents(docs: DataFrame) -> DataFrame:
         weights[r["at"]], sums[r["at"]] = r["n"], r["s"]
     answers = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n", "codes", "book")).alias("answers"))
     whole = numbered.join(answers, "block")
-    return whole.mapInPandas(_score(word_shards, pair_shards, tokens, words, bigram_weights(weights, sums)), schema)
+    return whole.mapInArrow(_score(word_shards, pair_shards, tokens, words, bigram_weights(weights, sums)), schema)

@@ -42,20 +42,32 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int, bins: int | None = Non
 
 
 def equal_bins(sizes: np.ndarray, bins: int) -> np.ndarray:
-    """Best fit decreasing into ``bins`` bins of the least capacity, found by bisection, that holds all items."""
-    total, largest = int(sizes.sum()), int(sizes.max(initial=0))
-    low, high = max(-(-total // bins), largest), total + largest + 1
-    best = best_fit_decreasing(sizes, high, bins)
-    load = lambda x: int(np.bincount(x, sizes, bins).max())
-    high = min(high, 2 * low + 1)
+    """Best fit decreasing into ``bins`` bins of the least capacity, found by bisection, that holds all items.
+
+    An item that is at least an equal share of what is left gets a bin to itself first, the last ones counted from the end.
+    """
+    out = np.zeros(len(sizes), np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    alone, left = 0, int(sizes.sum())
+    while alone < min(len(order), bins - 1) and int(sizes[order[alone]]) * (bins - alone) >= left:
+        out[order[alone]] = bins - 1 - alone
+        left -= int(sizes[order[alone]])
+        alone += 1
+    rest, bins = np.sort(order[alone:]), bins - alone
+    own = sizes[rest]
+    low, high = max(-(-left // bins), int(own.max(initial=0))), left
+    best = np.zeros(len(rest), np.int64)
     while low < high:
         middle = (low + high) // 2
-        found = best_fit_decreasing(sizes, middle, bins)
-        if load(found) <= middle:
+        found = best_fit_decreasing(own, middle, bins)
+        if int(np.bincount(found, own, bins).max()) <= middle:
             best, high = found, middle
         else:
             low = middle + 1
-    return best if load(best) <= high else best_fit_decreasing(sizes, high, bins)
+    if len(rest) and int(np.bincount(best, own, bins).max()) > high:
+        best = best_fit_decreasing(own, high, bins)
+    out[rest] = best
+    return out
 
 
 def _lane(key: tuple, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
