@@ -92,25 +92,30 @@ def _deeper(key: Column, level: int) -> Column:
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions (key, node, n_shingles) of about REGION members, and (node, n_shingles, hub, hub_n) for the rest.
+    """Regions (key, node, n_shingles) of about REGION members, and (node, n_shingles, hub, hub_n) for large ones.
 
     Tree ``t`` sorts the nodes by their signature read from its own starting place.  Nodes that agree on STEP values
     are neighbours there; where more than REGION agree, the region is read STEP values deeper, and so on.  A node that is
-    alone at the deeper level, or a region still large at the last level, stays with the last common prefix: such nodes
-    are dealt to regions by a hash and each is also paired with the smallest node of its prefix, the hub.
+    alone at the deeper level, or a region still large at the last level, stays with the last common prefix and is dealt
+    to a region by a hash.
+
+    Copies of one text may each be close to that text only and not to each other.  So all members of a large region, at
+    each level, are also paired with its hub: the member that shares most prefixes with others over all trees and levels.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     live = nodes.select("node", "n_shingles", "signature", trees.alias("tree"))
     live = live.select("node", "n_shingles", "tree", _deeper(F.col("tree").cast("long"), 0).alias("key"))
-    small, loose = [], []
+    small, loose, shared, large = [], [], [], []
     for level in range(LEVELS):
-        groups = live.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub"))
+        groups = live.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least"))
         if level:
-            alone = groups.where("members = 1").select(F.col("hub").alias("node"), "key")
+            alone = groups.where("members = 1").select(F.col("least").alias("node"), "key")
             loose.append(live.join(alone, ["key", "node"], "left_semi").select(F.col("above").alias("key"), "node", "n_shingles"))
         live = stored(live.join(groups.where("members > 1").select("key", "members"), "key"), "region")
+        shared.append(live.select("node", "members"))
         small.append(live.where(F.col("members") <= REGION).select("key", "node", "n_shingles"))
         live = live.where(F.col("members") > REGION).drop("members")
+        large.append(live.select("key", "node", "n_shingles"))
         if level + 1 == LEVELS:
             loose.append(live.select("key", "node", "n_shingles"))
         elif live.isEmpty():
@@ -119,21 +124,27 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             live = live.join(nodes.select("node", "signature"), "node").select(
                 "node", "n_shingles", "tree", F.col("key").alias("above"), _deeper(F.col("key"), level + 1).alias("key")
             )
-    regions = small[0]
-    for more in small[1:]:
-        regions = regions.unionByName(more)
-    if not loose:
-        return regions, nodes.where("false").select("node", "n_shingles", F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    rest = loose[0]
-    for more in loose[1:]:
-        rest = rest.unionByName(more)
-    rest = stored(rest, "loose")
-    hubs = rest.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n_shingles")).alias("hub"))
-    rest = rest.join(hubs, "key")
-    lane = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / REGION))
-    regions = regions.unionByName(rest.select(F.xxhash64("key", lane).alias("key"), "node", "n_shingles"))
-    stars = rest.where("node > hub.node").select("node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
-    return regions, stars
+    regions, every = _union(small), _union(large)
+    if loose:
+        rest = stored(_union(loose), "loose")
+        rest = rest.join(rest.groupBy("key").agg(F.count("*").alias("members")), "key")
+        lane = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / REGION))
+        regions = regions.unionByName(rest.select(F.xxhash64("key", lane).alias("key"), "node", "n_shingles"))
+    degree = _union(shared).groupBy("node").agg(F.sum("members").alias("degree"))
+    hubs = every.join(degree, "node").groupBy("key").agg(
+        F.max_by(F.struct("node", "n_shingles"), F.struct("degree", -F.col("node"))).alias("hub")
+    )
+    stars = every.join(hubs, "key").where("node <> hub.node").select(
+        "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n")
+    )
+    return regions, stars.distinct()
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -142,9 +153,10 @@ def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     left = regions.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("a_n"))
     right = regions.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("b_n"))
     pairs = left.join(right, "key").where("a < b").select("a", "a_n", "b", "b_n")
-    pairs = pairs.unionByName(
-        stars.select(F.col("hub").alias("a"), F.col("hub_n").alias("a_n"), F.col("node").alias("b"), F.col("n_shingles").alias("b_n"))
-    )
+    first = F.col("node") < F.col("hub")
+    pick = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)), F.when(first, F.col(y)).otherwise(F.col(x)))
+    (a, b), (a_n, b_n) = pick("node", "hub"), pick("n_shingles", "hub_n")
+    pairs = pairs.unionByName(stars.select(a.alias("a"), a_n.alias("a_n"), b.alias("b"), b_n.alias("b_n")))
     pairs = pairs.where(_close(F.col("a_n"), F.col("b_n"), percent)).select("a", "b").distinct()
     share = percent / 100
     least = int(VALUES * share - SLACK * (VALUES * share * (1 - share)) ** 0.5)
