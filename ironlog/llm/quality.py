@@ -37,8 +37,8 @@ def text_features(texts: pa.Array) -> np.ndarray:
     data, edges = text_bytes(texts)
     n = len(edges) - 1
     count = np.zeros((n, 12))
-    for a in range(0, len(data), 4 << 20):
-        part = _CLASS[data[a : a + (4 << 20)]]
+    for a in range(0, len(data), 1 << 20):
+        part = _CLASS[data[a : a + (1 << 20)]]
         lo, hi = np.searchsorted(edges, a, "right") - 1, np.searchsorted(edges, a + len(part), "left")
         spans = np.diff(np.clip(edges[lo : hi + 1] - a, 0, len(part)))
         owner = np.repeat(np.arange(hi - lo, dtype=np.int32), spans)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 4 << 20
+WINDOW = 1 << 20
 _U = np.uint64
 
 
