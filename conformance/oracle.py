@@ -22,22 +22,25 @@ entry AS (
       WHEN 'LARGE' THEN 'Bench Press' WHEN 'PROMO' THEN 'Overhead Press'
       WHEN 'MEDIUM' THEN CASE WHEN p_size <= 15 THEN 'RDL' ELSE 'Deadlift' END
       ELSE 'Leg Press' END AS exercise,
-    l_tax = 0.08 AND l_returnflag = 'R' AS skipped
+    l_tax = 0.08 AND l_returnflag = 'R' AS skipped, c_custkey % 80 = 7 AS steady
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
 log AS (
-  SELECT CAST(c_nationkey AS BIGINT) AS athlete_id,
+  SELECT CAST(CASE WHEN c_custkey % 40 = 7 THEN c_custkey + 1000 ELSE c_nationkey END
+      AS BIGINT) AS athlete_id,
     CAST(l_shipdate AS DATE) AS "Date",
     'Block ' || year(o_orderdate) AS "Block",
     'Day ' || isodow(l_shipdate) AS "Day",
     exercise AS "Exercise",
     CASE WHEN NOT skipped THEN CAST(l_linenumber AS DOUBLE)
       + CASE WHEN l_quantity = 50 THEN 4 ELSE 0 END END AS "Sets",
-    CASE WHEN NOT skipped THEN l_quantity % 12 + 1 END AS "Reps",
+    CASE WHEN NOT skipped THEN CASE WHEN steady THEN 1 ELSE l_quantity % 12 + 1 END
+      END AS "Reps",
     CASE WHEN NOT skipped AND NOT (l_tax = 0.07 AND l_returnflag = 'N')
-      THEN floor(CAST(round(l_extendedprice * 100) AS BIGINT) / 7000.0 + 0.5) / 2
+      THEN CASE WHEN steady THEN 100.1
+        ELSE floor(CAST(round(l_extendedprice * 100) AS BIGINT) / 7000.0 + 0.5) / 2 END
       END AS "Load",
-    CASE WHEN NOT (l_linestatus = 'O' AND l_tax <= 0.02)
+    CASE WHEN NOT steady AND NOT (l_linestatus = 'O' AND l_tax <= 0.02)
       THEN round(5 + 50 * l_discount, 1) END AS "RPE",
     '' AS "Notes",
     CASE WHEN exercise LIKE '%Squat' THEN 'Squat'
@@ -189,12 +192,16 @@ f4 AS (SELECT {keys}, count(*) AS n, min("Date") AS first_day, max(x) AS last_da
     sum(yc * t2) / nullif(sum(t2 * t2), 0) AS c2,
     sum(yc * t3) / nullif(sum(t3 * t3), 0) AS c3
   FROM f3 GROUP BY {keys}),
+f4b AS (SELECT * EXCLUDE (flat) REPLACE (CASE WHEN flat THEN 0 ELSE yy END AS yy,
+    CASE WHEN flat THEN 0 ELSE c1 END AS c1, CASE WHEN flat THEN 0 ELSE c2 END AS c2,
+    CASE WHEN flat THEN 0 ELSE c3 END AS c3)
+  FROM (SELECT *, yy / n <= y_mean * y_mean * 1e-22 AS flat FROM f4)),
 f5 AS (SELECT *,
-    CASE WHEN yy = 0 THEN 1.0 ELSE c1 * c1 * q1 / yy END AS r1,
-    CASE WHEN yy = 0 THEN 1.0 ELSE (c1 * c1 * q1 + c2 * c2 * q2) / yy END AS r2,
+    CASE WHEN yy = 0 THEN 1.0 ELSE least(1, c1 * c1 * q1 / yy) END AS r1,
+    CASE WHEN yy = 0 THEN 1.0 ELSE least(1, (c1 * c1 * q1 + c2 * c2 * q2) / yy) END AS r2,
     CASE WHEN yy = 0 THEN 1.0
-      ELSE (c1 * c1 * q1 + c2 * c2 * q2 + c3 * c3 * q3) / yy END AS r3
-  FROM f4)"""
+      ELSE least(1, (c1 * c1 * q1 + c2 * c2 * q2 + c3 * c3 * q3) / yy) END AS r3
+  FROM f4b)"""
 
 
 def _chosen(every_key: str, robust: bool, keys: str = _KEYS) -> str:
@@ -255,7 +262,8 @@ low AS (SELECT recent.* FROM recent JOIN main USING ({_KEYS}, "Exercise")
 bounds AS (SELECT {_KEYS}, avg(est) AS mu, stddev_samp(est) AS sd FROM low
   GROUP BY ALL),
 series AS (SELECT {_KEYS}, "Date", max(est) AS est FROM low
-  JOIN bounds USING ({_KEYS}) WHERE abs(est - mu) <= 2 * sd GROUP BY ALL)"""
+  JOIN bounds USING ({_KEYS}) WHERE abs(est - mu) <= 2 * sd + 1e-12 * abs(mu)
+  GROUP BY ALL)"""
 FILTERED_KEYS = FILTERED + f""",
 every_fit AS (SELECT * EXCLUDE (main_exercise, entries),
     CASE WHEN EXISTS (SELECT 1 FROM series s WHERE s.athlete_id = k.athlete_id
@@ -315,6 +323,14 @@ FROM g""",
     )
 
 
+def _status(select: str, source: str) -> str:
+    """All keys of ``source``; ``select`` gives the figures of those that have some."""
+    return f"""SELECT every_key.*, found.* EXCLUDE ({_KEYS}, status),
+  coalesce(found.status, 'insufficient') AS status
+FROM (SELECT DISTINCT {_KEYS} FROM {source}) AS every_key
+LEFT JOIN (SELECT *, 'ok' AS status FROM ({select})) AS found USING ({_KEYS})"""
+
+
 def _recent(select: str, having: str = "") -> str:
     """Query over ``recent`` rows and their ``daily`` bests of twelve months."""
     return _with(
@@ -422,11 +438,14 @@ def _clean(source: str, ctes: str) -> str:
 
 
 def _sample(condition: str, n: int, seed: int) -> str:
-    text = ", ".join(f"CAST({c.strip()} AS VARCHAR)" for c in _LOG_COLUMNS.split(","))
+    text = ", ".join(
+        f"'{i}:' || coalesce(CAST({c.strip()} AS VARCHAR), '\\N')"
+        for i, c in enumerate(_LOG_COLUMNS.split(","))
+    )
     return _with(
         LOG,
         f"SELECT {_LOG_COLUMNS} FROM log WHERE {condition}"
-        f" ORDER BY md5(concat_ws('|', {text}, '{seed}')) LIMIT {n}",
+        f" ORDER BY md5(concat_ws('|', {text}, '{seed}')), {_LOG_COLUMNS} LIMIT {n}",
     )
 
 
@@ -458,7 +477,7 @@ WITH t AS (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS pri
 SELECT 'Lifter ' || o_custkey AS "Name",
   CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS "Date",
   'Meet ' || o_orderkey AS "MeetName",
-  try_cast(CASE WHEN o_orderkey % 5 = 0 THEN price || 'kg' ELSE price END AS DOUBLE)
+  CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN CAST(price AS DOUBLE) END
     AS "TotalKg",
   CASE WHEN o_orderkey % 9 <> 0 THEN CAST(price AS DOUBLE) END AS "Best3SquatKg"
 FROM t""",
@@ -939,20 +958,20 @@ FROM overall LEFT JOIN best USING ({_KEYS})""",
         ),
         "optimal_volume": _with(
             _VOLUME,
-            f"""SELECT {_KEYS}, bucket AS optimal_volume_bucket,
+            _status(f"""SELECT {_KEYS}, bucket AS optimal_volume_bucket,
   round(avg_volume, 4) AS optimal_volume FROM named
 QUALIFY row_number() OVER (PARTITION BY {_KEYS}
-  ORDER BY average_1rm DESC NULLS LAST, bucket_no) = 1""",
+  ORDER BY average_1rm DESC NULLS LAST, bucket_no) = 1""", "rm"),
         ),
         "volume_advice": _with(
             _VOLUME
             + f""",
 linked AS (SELECT {_KEYS}, {_corr('vol', 'best')} AS r, avg(vol) AS mean_volume
   FROM loaded GROUP BY ALL)""",
-            f"""SELECT {_KEYS}, round(r, 4) AS volume_correlation,
+            _status(f"""SELECT {_KEYS}, round(r, 4) AS volume_correlation,
   round(mean_volume, 4) AS average_weekly_volume,
   CASE WHEN r > 0.3 THEN 'Increase' WHEN r > -0.3 THEN 'Maintain'
-    ELSE 'Decrease' END AS volume_recommendation FROM linked""",
+    ELSE 'Decrease' END AS volume_recommendation FROM linked""", "rm"),
         ),
         # diagnostics
         "recent_daily": _recent(
@@ -960,34 +979,37 @@ linked AS (SELECT {_KEYS}, {_corr('vol', 'best')} AS r, avg(vol) AS mean_volume
   exercise AS "Exercise" FROM placed WHERE pos > sessions - 10"""
         ),
         "session_trend": _recent(
-            f"""SELECT {_KEYS}, count(*) AS sessions,
+            _status(f"""SELECT {_KEYS}, count(*) AS sessions,
   round(regr_slope(est, pos), 4) AS per_session,
   round(8 * regr_slope(est, pos), 4) AS per_month
-FROM placed GROUP BY {_KEYS} HAVING count(*) >= 3"""
+FROM placed GROUP BY {_KEYS} HAVING count(*) >= 3""", "strict")
         ),
         "high_low": _recent(
-            f"""SELECT {_KEYS}, round(max(est), 4) AS highest,
+            _status(f"""SELECT {_KEYS}, round(max(est), 4) AS highest,
   min("Date") FILTER (WHERE est = top) AS highest_date, round(min(est), 4) AS lowest,
   min("Date") FILTER (WHERE est = bottom) AS lowest_date
 FROM (SELECT *, max(est) OVER (PARTITION BY {_KEYS}) AS top,
   min(est) OVER (PARTITION BY {_KEYS}) AS bottom FROM placed)
-GROUP BY {_KEYS} HAVING count(*) >= 3"""
+GROUP BY {_KEYS} HAVING count(*) >= 3""", "strict")
         ),
         "exercise_variants": _recent(
-            f"""SELECT DISTINCT {_KEYS}, "Exercise", n_exercises,
+            _status(f"""SELECT DISTINCT {_KEYS}, "Exercise", n_exercises,
   n_exercises > 1 AS several FROM recent JOIN (SELECT {_KEYS},
-    count(DISTINCT "Exercise") AS n_exercises FROM recent GROUP BY ALL)
-USING ({_KEYS})"""
+    count(DISTINCT "Exercise") AS n_exercises FROM recent GROUP BY ALL
+    HAVING count(DISTINCT "Date") >= 3)
+USING ({_KEYS})""", "strict")
         ),
         "load_variability": _recent(
-            f"""SELECT {_KEYS}, round(stddev_samp(load), 4) AS load_std,
+            _status(f"""SELECT {_KEYS}, round(stddev_samp(load), 4) AS load_std,
   round(avg(load), 4) AS load_mean,
   stddev_samp(load) > 0.3 * avg(load) AS high_variability
-FROM placed GROUP BY {_KEYS} HAVING count(*) >= 3"""
+FROM placed GROUP BY {_KEYS} HAVING count(*) >= 3""", "strict")
         ),
         "rep_breakdown": _recent(
-            f"""SELECT {_KEYS}, "Reps", count(*) AS count,
-  round_even(avg(est), 4) AS mean FROM recent GROUP BY {_KEYS}, "Reps\""""
+            _status(f"""SELECT {_KEYS}, "Reps", count(*) AS count,
+  round_even(avg(est), 4) AS mean
+FROM recent SEMI JOIN (SELECT {_KEYS} FROM placed WHERE sessions >= 3) USING ({_KEYS})
+GROUP BY {_KEYS}, "Reps\"""", "strict")
         ),
         "recent_vs_earlier": _recent(
             f""",
@@ -995,9 +1017,12 @@ sides AS (SELECT {_KEYS}, avg(est) FILTER (WHERE pos > sessions - 7) AS late,
     avg(est) FILTER (WHERE pos <= CASE WHEN sessions >= 14 THEN 7
       ELSE sessions // 2 END) AS early
   FROM placed WHERE sessions >= 3 GROUP BY {_KEYS})
-SELECT {_KEYS}, round(late, 4) AS recent_avg, round(early, 4) AS earlier_avg,
+"""
+            + _status(f"""SELECT {_KEYS}, round(late, 4) AS recent_avg,
+  round(early, 4) AS earlier_avg,
   round(late - early, 4) AS change, CASE WHEN late - early < -20 THEN 'deload'
-    WHEN late - early > 20 THEN 'improved' ELSE 'steady' END AS verdict FROM sides"""
+    WHEN late - early > 20 THEN 'improved' ELSE 'steady' END AS verdict FROM sides""",
+                "strict")
         ),
         "top_exercises": _with(
             STRICT,
@@ -1012,8 +1037,9 @@ flagged AS (SELECT *, "Date" >= DATE '{AS_OF}' - 90 AS recent FROM strict)""",
             f"""SELECT {_KEYS}, max("Load") FILTER (WHERE recent) AS recent_max,
   round(avg("Load") FILTER (WHERE recent), 4) AS recent_mean,
   max("Load") AS overall_max,
-  max("Load") FILTER (WHERE recent) < 0.85 * max("Load") AS dropped
-FROM flagged GROUP BY {_KEYS} HAVING bool_or(recent)""",
+  max("Load") FILTER (WHERE recent) < 0.85 * max("Load") AS dropped,
+  CASE WHEN bool_or(recent) THEN 'ok' ELSE 'insufficient' END AS status
+FROM flagged GROUP BY {_KEYS}""",
         ),
         "window_sweep": _with(
             f"""{STRICT},

@@ -49,7 +49,7 @@ def _half_pounds(price: Column) -> Column:
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as training entries of 25 athletes."""
+    """Order lines as training entries: 25 athletes with many, others with few."""
     c = F.col
     kind = c("p_type")
     exercise = (
@@ -72,8 +72,15 @@ def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey",
         F.concat(F.lit("Block "), F.year("o_orderdate")).alias("Block"),
     )
+    # some customers are athletes of their own, with series that are short; half of
+    # those lift the same weight on every day
+    own = c("c_custkey") % 40 == 7
     customers = table(spark, sf_dir, "customer").select(
-        "c_custkey", c("c_nationkey").alias("athlete_id")
+        "c_custkey",
+        F.when(own, (c("c_custkey") + 1000).cast("int"))
+        .otherwise(c("c_nationkey"))
+        .alias("athlete_id"),
+        (c("c_custkey") % 80 == 7).alias("steady"),
     )
     skipped = (c("l_tax") == 0.08) & (c("l_returnflag") == "R")
     items = table(spark, sf_dir, "lineitem").withColumns(
@@ -99,9 +106,14 @@ def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Day "), F.weekday("Date") + 1).alias("Day"),
         "Exercise",
         F.when(c("logged"), sets.cast("double")).alias("Sets"),
-        F.when(c("logged"), c("l_quantity") % 12 + 1).alias("Reps"),
-        F.when(c("weighed"), _half_pounds(c("l_extendedprice"))).alias("Load"),
-        F.when(c("rated"), rpe).alias("RPE"),
+        F.when(
+            c("logged"), F.when(c("steady"), 1.0).otherwise(c("l_quantity") % 12 + 1)
+        ).alias("Reps"),
+        F.when(
+            c("weighed"),
+            F.when(c("steady"), 100.1).otherwise(_half_pounds(c("l_extendedprice"))),
+        ).alias("Load"),
+        F.when(c("rated") & ~c("steady"), rpe).alias("RPE"),
         F.lit("").alias("Notes"),
         "Lift_Type",
     )
@@ -170,6 +182,7 @@ def raw_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("Date"),
         F.concat(F.lit("Meet "), key).alias("MeetName"),
         F.when(key % 5 == 0, F.concat(price, F.lit("kg")))
+        .when(key % 7 == 0, F.concat(price, F.lit("d")))
         .otherwise(price)
         .alias("TotalKg"),
         F.when(key % 9 != 0, price).alias("Best3SquatKg"),

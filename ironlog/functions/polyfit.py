@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIN_DAYS = 5
+# Mean square of the spread, relative to the mean, up to which a series is constant.
+FLAT = 1e-22
 DEGREE_NAMES = {1: "linear", 2: "polynomial_2", 3: "polynomial_3"}
 
 
@@ -76,11 +78,15 @@ def solve(sums: DataFrame) -> DataFrame:
     """
     c = F.col
     n = F.nullif(c("data_points"), F.lit(0))
+    # values that differ by rounding only are one constant: no slope, no curve
+    flat = c("yy") <= n * c("y_mean") * c("y_mean") * FLAT
+    level = {k: F.when(flat, 0.0).otherwise(c(k)) for k in ("yy", "b1", "b2", "b3")}
 
     def centred(j: int, k: int) -> Column:
         return c(f"m{j + k}") - c(f"m{j}") * c(f"m{k}") / n
 
     steps = [
+        level,
         {
             "d1": centred(1, 1),
             "a12": centred(1, 2),
@@ -114,7 +120,9 @@ def solve(sums: DataFrame) -> DataFrame:
     r2, total = {}, F.lit(0.0)
     for k, gain in gains.items():
         total = total + gain
-        r2[f"r2_{k}"] = F.when(c("yy") == 0, 1.0).otherwise(_ratio(total, c("yy")))
+        r2[f"r2_{k}"] = F.when(c("yy") == 0, 1.0).otherwise(
+            F.least(F.lit(1.0), _ratio(total, c("yy")))
+        )
     return out.withColumns(r2)
 
 

@@ -46,3 +46,15 @@ def top_rows(
     """
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def with_status(found: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every key of the log: ``ok`` with its figures, else ``insufficient`` and nulls.
+
+    Reads the key columns of the log once more.
+    """
+    every = log.select(*keys).distinct()
+    known = found.withColumn("status", F.lit("ok"))
+    return every.join(known, list(keys), "left").withColumn(
+        "status", F.coalesce("status", F.lit("insufficient"))
+    )

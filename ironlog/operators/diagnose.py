@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ironlog.functions.stats import top_rows
+from ironlog.functions.stats import top_rows, with_status
 from ironlog.keys import KEYS
 from ironlog.operators.onerm import ESTIMATE
 
@@ -58,6 +58,12 @@ def _daily(
     )
 
 
+def _sessions(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys with enough recent sessions for a diagnosis."""
+    days = daily.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sessions"))
+    return days.filter(F.col("_sessions") >= MIN_SESSIONS).select(*keys)
+
+
 def recent_daily(
     log: DataFrame,
     as_of: str,
@@ -75,7 +81,7 @@ def session_trend(
 ) -> DataFrame:
     """Slope of the daily best per session, and per month of eight sessions."""
     ordinal = F.row_number().over(W.partitionBy(*keys).orderBy("Date"))
-    return (
+    found = (
         _daily(log, as_of, months_back, keys)
         .withColumn("_ordinal", ordinal.cast("double"))
         .groupBy(*keys)
@@ -86,6 +92,7 @@ def session_trend(
         .filter(F.col("sessions") >= MIN_SESSIONS)
         .withColumn("per_month", F.col("per_session") * SESSIONS_PER_MONTH)
     )
+    return with_status(found, log, keys)
 
 
 def high_low(
@@ -93,7 +100,7 @@ def high_low(
 ) -> DataFrame:
     """Highest and lowest daily best with their (first) dates."""
     est, date = F.col(ESTIMATE), F.col("Date")
-    return (
+    found = (
         _daily(log, as_of, months_back, keys)
         .groupBy(*keys)
         .agg(
@@ -106,6 +113,7 @@ def high_low(
         .filter(F.col("_sessions") >= MIN_SESSIONS)
         .drop("_sessions")
     )
+    return with_status(found, log, keys)
 
 
 def exercise_variants(
@@ -113,8 +121,10 @@ def exercise_variants(
 ) -> DataFrame:
     """Recent exercises of each key, one per row, and whether there are several.
 
-    The list is kept as rows because its length is not bounded.
+    The list is kept as rows because its length is not bounded.  A key with too few
+    sessions has one row without an exercise.
     """
+    enough = _sessions(_daily(log, as_of, months_back, keys), keys)
     names = (
         _recent(log, as_of, months_back)
         .groupBy(*keys, "Exercise")
@@ -123,16 +133,19 @@ def exercise_variants(
         .drop("_rows")
     )
     counts = names.groupBy(*keys).agg(F.count("Exercise").alias("n_exercises"))
-    return names.join(counts, list(keys)).withColumn(
-        "several", F.col("n_exercises") > 1
+    found = (
+        names.join(counts, list(keys))
+        .join(enough, list(keys), "left_semi")
+        .withColumn("several", F.col("n_exercises") > 1)
     )
+    return with_status(found, log, keys)
 
 
 def load_variability(
     log: DataFrame, as_of: str, months_back: int = 6, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Spread of the daily top load, flagged above 30 % of its mean."""
-    return (
+    found = (
         _daily(log, as_of, months_back, keys)
         .groupBy(*keys)
         .agg(
@@ -144,6 +157,7 @@ def load_variability(
         .drop("_sessions")
         .withColumn("high_variability", F.col("load_std") > F.col("load_mean") * 0.3)
     )
+    return with_status(found, log, keys)
 
 
 def rep_breakdown(
@@ -153,8 +167,9 @@ def rep_breakdown(
     decimals: int = 1,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Rows and mean estimate per repetition count."""
-    return (
+    """Rows and mean estimate per repetition count, for keys with enough sessions."""
+    enough = _sessions(_daily(log, as_of, months_back, keys), keys)
+    found = (
         _recent(log, as_of, months_back)
         .filter(F.col("Reps").isNotNull())
         .groupBy(*keys, "Reps")
@@ -163,7 +178,9 @@ def rep_breakdown(
             F.bround(F.avg(_valid(ESTIMATE)), decimals).alias("mean"),
         )
         .filter(F.col("count") > 0)
+        .join(enough, list(keys), "left_semi")
     )
+    return with_status(found, log, keys)
 
 
 def recent_vs_earlier(
@@ -179,7 +196,7 @@ def recent_vs_earlier(
         F.floor(F.col("_n") / 2)
     )
     change = F.col("change")
-    return (
+    found = (
         _daily(log, as_of, months_back, keys)
         .withColumn("_place", F.row_number().over(group.orderBy("Date")))
         .withColumn("_n", F.count(F.lit(1)).over(group))
@@ -201,6 +218,7 @@ def recent_vs_earlier(
             .otherwise("steady"),
         )
     )
+    return with_status(found, log, keys)
 
 
 def top_exercises(
@@ -218,7 +236,7 @@ def top_exercises(
 def recent_load_drop(
     log: DataFrame, as_of: str, days: int = 60, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Recent loads against the all-time best; keys without recent rows drop."""
+    """Recent loads against the all-time best; ``insufficient`` without recent rows."""
     recent = F.col("Date") >= _since(as_of, days)
     load = F.when(recent, F.col("Load"))
     return (
@@ -229,7 +247,7 @@ def recent_load_drop(
             F.avg(load).alias("recent_mean"),
             F.max("Load").alias("overall_max"),
         )
-        .filter(F.col("_rows") > 0)
-        .drop("_rows")
         .withColumn("dropped", F.col("recent_max") < F.col("overall_max") * 0.85)
+        .withColumn("status", F.when(F.col("_rows") > 0, "ok").otherwise("insufficient"))
+        .drop("_rows")
     )

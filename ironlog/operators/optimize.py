@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ironlog.functions.stats import pearson, safe_corr, top_rows, volume
+from ironlog.functions.stats import pearson, safe_corr, top_rows, volume, with_status
 from ironlog.keys import KEYS
 from ironlog.operators.onerm import ESTIMATE
 from ironlog.operators.progress import week_of
@@ -36,8 +36,21 @@ MIN_WEEKS = 4
 MAX_SESSIONS = 7
 
 
-def rep_band_stats(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Progress correlation, mean estimate and volume per repetition band."""
+def rep_band_stats(
+    log: DataFrame,
+    keys: Sequence[str] = KEYS,
+    window_days: int | None = None,
+    as_of: str | None = None,
+) -> DataFrame:
+    """Progress correlation, mean estimate and volume per repetition band.
+
+    With ``window_days``, only rows of so many days up to ``as_of`` count.
+    """
+    if window_days is not None:
+        if as_of is None:
+            raise ValueError("window_days needs as_of")
+        today = F.lit(as_of).cast("date")
+        log = log.filter(F.col("Date").between(F.date_sub(today, window_days), today))
     reps = F.col("Reps")
     band = F.lit(None).cast("int")
     name = F.lit(None).cast("string")
@@ -218,12 +231,14 @@ def volume_buckets(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def optimal_volume(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Bucket with the best mean estimate; ``insufficient`` if no bucket qualifies."""
     order = [F.desc_nulls_last("average_1rm"), F.asc("bucket_no")]
-    return top_rows(volume_buckets(log, keys), keys, order).select(
+    found = top_rows(volume_buckets(log, keys), keys, order).select(
         *keys,
         F.col("bucket").alias("optimal_volume_bucket"),
         F.col("avg_volume").alias("optimal_volume"),
     )
+    return with_status(found, log, keys)
 
 
 def volume_advice(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -233,7 +248,7 @@ def volume_advice(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     threshold.
     """
     r = F.col("volume_correlation")
-    return (
+    found = (
         weekly_volume_stats(log, keys)
         .groupBy(*keys)
         .agg(
@@ -247,3 +262,4 @@ def volume_advice(log: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             F.when(r > 0.3, "Increase").when(r > -0.3, "Maintain").otherwise("Decrease"),
         )
     )
+    return with_status(found, log, keys)

@@ -128,8 +128,12 @@ def progress_delta(
     )
 
 
-def workout_stats(log: DataFrame, by: Sequence[str] = ("athlete_id",)) -> DataFrame:
-    """Training days, rows, span and days per week."""
+def workout_stats(
+    log: DataFrame, by: Sequence[str] = ("athlete_id",), main_only: bool = False
+) -> DataFrame:
+    """Training days, rows, span and days per week; of the main lifts only if asked."""
+    if main_only:
+        log = main_lifts(log)
     per_day = log.groupBy(*by, "Date").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(LIFT).isin(*MAIN_LIFTS)).alias("main"),

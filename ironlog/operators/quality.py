@@ -106,10 +106,13 @@ def rule_violations(log: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 
 def rule_violation_examples(
-    log: DataFrame, rules: Rules = RULES, n: int = 3
+    log: DataFrame,
+    rules: Rules = RULES,
+    n: int = 3,
+    keys: Sequence[str] = ("athlete_id",),
 ) -> DataFrame:
     """First ``n`` offenders per rule, by date and then the remaining columns."""
-    carry = ["athlete_id", "Date", "Exercise"]
+    carry = [*keys, "Date", "Exercise"]
     order = [F.asc_nulls_first(c) for c in (*carry, "value")]
     rank = F.row_number().over(W.partitionBy("column").orderBy(*order))
     return (
@@ -223,12 +226,16 @@ def search_exercise(log: DataFrame, pattern: str) -> DataFrame:
 def sample_rows(log: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` pseudo-random rows, the same ones on every run and every engine.
 
-    Rows are ordered by a digest of their text.  Each task keeps its own ``n``
-    smallest digests, so there is no full sort.
+    Rows are ordered by a digest of their text, in which a null differs from any
+    text and each column has its place; equal digests are ordered by the columns.
+    Each task keeps its own ``n`` smallest digests, so there is no full sort.
     """
-    text = [F.col(c).cast("string") for c in log.columns]
+    text = [
+        F.concat(F.lit(f"{i}:"), F.coalesce(F.col(c).cast("string"), F.lit("\\N")))
+        for i, c in enumerate(log.columns)
+    ]
     digest = F.md5(F.concat_ws("|", *text, F.lit(str(seed))))
-    return log.orderBy(digest).limit(n)
+    return log.orderBy(digest, *log.columns).limit(n)
 
 
 def show_exercise_examples(

@@ -191,7 +191,8 @@ def _filtered_daily(
         F.col("main_exercise").alias("Exercise"),
         "cutoff",
         "center",
-        (2 * F.col("spread")).alias("reach"),
+        # rounding of the mean must not put a constant series outside
+        (2 * F.col("spread") + 1e-12 * F.abs("center")).alias("reach"),
     )
     est = F.col(ESTIMATE)
     rows = log.filter((est > 0) & (F.col("Reps") <= 6)).select(
@@ -270,9 +271,8 @@ def trend_fit_robust(
     daily = _filtered_daily(log, stats, keys)
     sums = polyfit.power_sums(daily, by, F.lit(True), ESTIMATE)
     fit = _finish_fit(sums, by, robust=True)
-    # reads the key columns only
-    every_key = log.select(*keys).distinct()
-    return every_key.join(fit, list(keys), "left").withColumns(
+    # the statistics have a row for every key of the log
+    return stats.select(*keys).join(fit, list(keys), "left").withColumns(
         {
             "data_points": F.coalesce("data_points", F.lit(0)),
             "status": F.coalesce("status", F.lit("insufficient")),

@@ -98,7 +98,11 @@ def coerce_meets(
 ) -> DataFrame:
     """All-string meet rows to typed ones; what does not parse becomes null."""
     numeric = [c for c in (*weights, *schemas.MEET_SCORES) if c in raw.columns]
-    casts = {c: F.col(c).try_cast("double") for c in numeric}
+    # a cast alone would also take type suffixes such as 100d
+    number = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+    casts = {
+        c: F.when(F.col(c).rlike(number), F.col(c).try_cast("double")) for c in numeric
+    }
     casts["Date"] = parse_date_multi(F.col("Date"))
     return nan_to_null(raw.withColumns(casts))
 

@@ -120,7 +120,8 @@ def test_diagnostics(spark):
     assert sorted(top) == ["A", "B"]
     drop = diagnose.recent_load_drop(log, today).first()
     assert drop.overall_max == 900 and drop.recent_max == 310 and drop.dropped
-    assert diagnose.recent_load_drop(log, "2030-01-01").count() == 0
+    late = diagnose.recent_load_drop(log, "2030-01-01").first()
+    assert late.status == "insufficient" and late.recent_max is None
 
 
 def test_short_series_compares_halves(spark):
@@ -129,4 +130,16 @@ def test_short_series_compares_halves(spark):
     assert got.recent_avg == 120 and got.earlier_avg == 105
     assert got.verdict == "steady"
     two = log.filter("Load < 115")
-    assert diagnose.recent_vs_earlier(two, str(_day(5))).count() == 0
+    for report in (
+        diagnose.recent_vs_earlier,
+        diagnose.session_trend,
+        diagnose.high_low,
+        diagnose.load_variability,
+        diagnose.exercise_variants,
+        diagnose.rep_breakdown,
+    ):
+        got = report(two, str(_day(5))).collect()
+        assert [r.status for r in got] == ["insufficient"]
+        assert report(log, str(_day(5))).first().status == "ok"
+    for report in (optimize.optimal_volume, optimize.volume_advice):
+        assert [r.status for r in report(two).collect()] == ["insufficient"]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from ironlog.operators import trend
-from ironlog.operators.onerm import ESTIMATE
+from ironlog.operators.onerm import ESTIMATE, with_1rm
 from tests.helpers import D, entry, log_rows, rows
 
 START = D(2024, 1, 1)
@@ -206,3 +206,29 @@ def test_window_sweep(spark):
     got = {r.window_days: r.data_points for r in trend.window_sweep(log).collect()}
     assert got == {90: 10, 180: 19, 365: 36}
     assert len(rows(trend.model_compare(log), "athlete_id")) == 1
+
+
+@pytest.mark.parametrize("value", [100.1, 205.33333333333334, 1e-3])
+@pytest.mark.parametrize("noise", [0.0, 1e-12])
+def test_constant_series_are_level_lines(spark, value, noise):
+    """Rounding of a mean is no trend: straight line, R-squared 1, slope 0."""
+    start = dt.date(2024, 1, 1)
+    noise = noise if value > 1 else 0.0
+    rows = [
+        entry(start + dt.timedelta(2 * i), value + noise * (-1) ** i, 1)
+        for i in range(11)
+    ]
+    log = with_1rm(log_rows(spark, rows))
+    for fit in (trend.trend_fit, trend.trend_fit_robust):
+        got = fit(log).first()
+        assert (got.status, got.model_type, got.r2_score) == ("ok", "linear", 1.0)
+        assert got.slope == 0 and got.p1 == 0
+
+
+def test_r_squared_is_never_above_one(spark):
+    start = dt.date(2024, 1, 1)
+    rows = [
+        entry(start + dt.timedelta(i), 100 + 1e-9 * i**2, 1, lift="Bench") for i in range(9)
+    ]
+    got = trend.trend_fit(with_1rm(log_rows(spark, rows))).first()
+    assert 0 <= got.r2_score <= 1
