@@ -791,6 +791,20 @@ WHERE "Lift_Type" = lift OR "Lift_Type" IS NULL GROUP BY ALL""",
             'SELECT query, CAST(tier AS BIGINT) AS tier, "Name", "Date", "MeetName"'
             " FROM hits",
         ),
+        "search_lifter_regex": _with(
+            MEETS
+            + """,
+hits AS (
+  SELECT 'customer#0+7$' AS query, 1 AS tier, * FROM meets
+    WHERE regexp_matches(lower("Name"), 'customer#0+7$')
+  UNION ALL SELECT '^customer#[0-9]*[02]{2}$', 1, * FROM meets
+    WHERE right("Name", 2) IN ('00', '02', '20', '22')
+  UNION ALL SELECT '1{2}$ ^cust', 2, * FROM meets
+    WHERE "Name" LIKE '%11' AND lower("Name") LIKE 'cust%'
+  UNION ALL SELECT 'zz y', 2, * FROM meets)""",
+            'SELECT query, CAST(tier AS BIGINT) AS tier, "Name", "Date", "MeetName"'
+            " FROM hits",
+        ),
         "lifter_meets": _with(
             _SEARCH,
             f"""SELECT query, "Date", "MeetName", "Federation", "Division", "Place",

@@ -41,6 +41,8 @@ SEARCHES = (
     "a 1",
 )
 
+PATTERNS = ("customer#0+7$", "^customer#[0-9]*[02]{2}$", "1{2}$ ^cust", "zz y")
+
 
 def comparable(df: DataFrame) -> DataFrame:
     out = []
@@ -400,6 +402,11 @@ def registry() -> dict[str, Query]:
                 "query", "tier", "Name", "Date", "MeetName"
             )
         ),
+        "search_lifter_regex": _meets(
+            lambda m: meets.search_lifter(m, PATTERNS, regex=True).select(
+                "query", "tier", "Name", "Date", "MeetName"
+            )
+        ),
         "lifter_meets": _meets(lambda m: meets.lifter_meets(m, SEARCHES[:3])),
         "kg_to_lbs": _meets(meets.kg_to_lbs),
         "meets_long": _meets(meets.meets_long),

@@ -13,72 +13,150 @@ from ironlog.sources.schemas import MEET_COLUMNS, MEET_WEIGHTS
 
 LBS_PER_KG = 2.20462
 
-# A lookup list typed by a caller; far below what a broadcast may hold.
-MAX_QUERIES = 1000
+# Regular expressions tested in one projection.
+_PATTERNS = 50
+# Parts that queries matching every row are dealt to.
+_SALTS = 64
+
+
+def _asked(meets: DataFrame, names: str | Sequence[str] | DataFrame) -> DataFrame:
+    """The searched names once each, with their words of more than two letters."""
+    if isinstance(names, DataFrame):
+        asked = names.select(F.col(names.columns[0]).alias("query"))
+    else:
+        listed = [names] if isinstance(names, str) else list(names)
+        asked = meets.sparkSession.createDataFrame([(n,) for n in listed], "query string")
+    words = F.filter(
+        F.split(F.trim(F.lower("query")), r"(?U)\s+"), lambda w: F.length(w) > 2
+    )
+    return asked.filter(F.col("query").isNotNull()).distinct().withColumn("_words", words)
 
 
-def _text_match(text: Column, query: str, regex: bool) -> Column:
-    if regex:
-        return text.rlike("(?i)" + query)
-    return F.lower(text).contains(query.lower())
+def _containing(names: DataFrame, asked: DataFrame, text: Column) -> DataFrame:
+    """(Name, query, _words) of the names that contain ``text`` of a query.
 
+    Names are cut into their pieces of the lengths asked for, so containment is an
+    equality join: the work grows with the names and with the queries, not with their
+    product.
+    """
+    wanted = asked.select("query", "_words", text.alias("_piece"))
+    # as many rows as there are different lengths
+    lengths = [r[0] for r in wanted.select(F.length("_piece")).distinct().collect()]
+    size = F.col("_size")
+    pieces = (
+        names.select("Name", F.lower("Name").alias("_text"))
+        .select("*", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("_size"))
+        .filter(F.length("_text") >= size)
+        .select(
+            "Name",
+            F.explode(
+                F.array_distinct(
+                    F.transform(
+                        F.sequence(
+                            F.lit(1), F.when(size == 0, 1).otherwise(F.length("_text") - size + 1)
+                        ),
+                        lambda at: F.substring("_text", at, size),
+                    )
+                )
+            ).alias("_piece"),
+        )
+    ) if lengths else names.select("Name", F.lit("").alias("_piece")).filter("false")
+    return pieces.join(wanted, "_piece").select("Name", "query", "_words")
 
-def _word_match(text: Column, query: str, regex: bool) -> Column:
-    """Every word of more than two letters occurs; no such word matches all."""
-    hit = F.lit(True)
-    for word in query.lower().split():
-        if len(word) > 2:
-            hit = hit & _text_match(text, word if regex else word, regex)
-    return hit
+
+def _literal_hits(meets: DataFrame, asked: DataFrame, fuzzy: bool) -> tuple[DataFrame, DataFrame]:
+    """(Name, query, tier), and the queries that match every row."""
+    names = meets.select("Name").filter(F.col("Name").isNotNull()).distinct()
+    direct = _containing(names, asked, F.lower("query"))
+    hits = direct.select("Name", "query", F.lit(1).alias("tier"))
+    if not fuzzy:
+        return hits, asked.filter("false").select("query")
+    open_ = asked.join(direct.select("query").distinct(), "query", "left_anti")
+    # the longest word leads, the others are checked on what it finds
+    longest = F.array_sort(
+        "_words", lambda x, y: F.length(y) - F.length(x)
+    )[0]
+    led = _containing(names, open_.filter(F.size("_words") > 0), longest)
+    every_word = F.forall("_words", lambda w: F.lower("Name").contains(w))
+    hits = hits.unionByName(
+        led.filter(every_word).select("Name", "query", F.lit(2).alias("tier"))
+    )
+    return hits, open_.filter(F.size("_words") == 0).select("query")
+
+
+def _pattern_hits(meets: DataFrame, queries: Sequence[str], fuzzy: bool) -> tuple[DataFrame, DataFrame]:
+    """The same for regular expressions, which every different name is tested for."""
+    names = meets.select("Name").filter(F.col("Name").isNotNull()).distinct()
+    found = []
+    for at in range(0, len(queries), _PATTERNS):
+        candidates = []
+        for query in queries[at : at + _PATTERNS]:
+            tier = F.when(F.col("Name").rlike("(?i)" + query), 1)
+            words = [w for w in query.lower().split() if len(w) > 2]
+            if fuzzy and words:
+                hit = F.lit(True)
+                for word in words:
+                    hit = hit & F.col("Name").rlike("(?i)" + word)
+                tier = tier.when(hit, 2)
+            candidates.append(F.struct(F.lit(query).alias("query"), tier.alias("tier")))
+        kept = F.filter(F.array(*candidates), lambda c: c["tier"].isNotNull())
+        found.append(names.select("Name", F.explode(kept).alias("_hit")).select("Name", "_hit.*"))
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    best = hits.groupBy("query").agg(F.min("tier").alias("tier"))
+    hits = hits.join(best, ["query", "tier"], "left_semi").select("Name", "query", "tier")
+    short = [(q,) for q in queries if not any(len(w) > 2 for w in q.lower().split())]
+    all_rows = meets.sparkSession.createDataFrame(short if fuzzy else [], "query string")
+    direct = hits.filter("tier = 1").select("query").distinct()
+    return hits, all_rows.join(direct, "query", "left_anti")
 
 
 def search_lifter(
     meets: DataFrame,
-    names: str | Sequence[str],
+    names: str | Sequence[str] | DataFrame,
     fuzzy: bool = True,
     regex: bool = False,
 ) -> DataFrame:
     """Meet rows per searched name, with the match tier (1 direct, 2 words).
 
-    Word matches count only for names without any direct match.  All names are
-    tested in the same pass over the rows, without a join; the best tier per
-    name is one row per searched name and is what gets broadcast.
+    ``names`` is a name, a list, or a table whose first column holds the names; any
+    number of them.  Word matches count only for names without any direct match.  A
+    name of short words only, without a direct match, finds every row, also rows
+    without a name.
+
+    The search runs over the different names of the meets; their rows join by equality.
+    With ``regex`` (lists only) every different name is tested for every expression.
     """
-    queries = [names] if isinstance(names, str) else list(dict.fromkeys(names))
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} names per search")
     if regex:
+        if isinstance(names, DataFrame):
+            raise ValueError("regular expressions are given as a list")
+        queries = [names] if isinstance(names, str) else list(dict.fromkeys(names))
         for query in queries:
             re.compile(query)
-
-    name = F.col("Name")
-    candidates = []
-    for query in queries:
-        tier = F.when(_text_match(name, query, regex), F.lit(1))
-        if fuzzy:
-            tier = tier.when(
-                name.isNotNull() & _word_match(name, query, regex), F.lit(2)
-            )
-        candidates.append(
-            F.struct(F.lit(query).alias("query"), tier.alias("tier"))
-        )
-    hits = F.filter(F.array(*candidates), lambda c: c["tier"].isNotNull())
-    matched = meets.select("*", F.explode(hits).alias("_hit")).select(
-        *meets.columns, "_hit.*"
+        if not queries:
+            regex, names = False, []
+    if regex:
+        hits, all_rows = _pattern_hits(meets, queries, fuzzy)
+    else:
+        hits, all_rows = _literal_hits(meets, _asked(meets, names), fuzzy)
+    found = meets.join(hits, "Name").select(*meets.columns, "query", "tier")
+    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+    dealt = all_rows.distinct().select("query", F.explode(salts).alias("_salt"))
+    salted = meets.withColumn("_salt", F.pmod(F.xxhash64(*meets.columns), F.lit(_SALTS)).cast("int"))
+    everything = salted.join(dealt, "_salt").select(
+        *meets.columns, "query", F.lit(2).alias("tier")
     )
-    if not fuzzy:
-        return matched
-    best = matched.groupBy("query").agg(F.min("tier").alias("tier"))
-    # at most MAX_QUERIES rows
-    return matched.join(F.broadcast(best), ["query", "tier"], "left_semi")
+    return found.unionByName(everything)
 
 
 def lifter_meets(
-    meets: DataFrame, names: str | Sequence[str], **search
+    meets: DataFrame, names: str | Sequence[str] | DataFrame, **search
 ) -> DataFrame:
-    """The meet list of each searched name: the listed columns that exist."""
+    """The meet list of each searched name by date: the listed columns that exist."""
     present = [c for c in MEET_COLUMNS if c in meets.columns]
-    return search_lifter(meets, names, **search).select("query", *present)
+    found = search_lifter(meets, names, **search).select("query", *present)
+    return found.orderBy("query", *(["Date"] if "Date" in present else []))
 
 
 def kg_to_lbs(meets: DataFrame) -> DataFrame:

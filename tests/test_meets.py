@@ -62,6 +62,35 @@ def test_search(spark):
     assert len(_found(meets.search_lifter(m, "^.n+a", regex=True))) == 1
 
 
+def test_search_takes_any_number_of_names(spark):
+    m = _meets(spark)
+    names = [f"nobody {i}" for i in range(5000)] + ["smith", "li", "", None]
+    got = _found(meets.search_lifter(m, names))
+    assert {g for g in got if g[0] != ""} == {
+        ("smith", 1, "A. Smith"), ("smith", 1, "Anna Smithson"), ("li", 1, "Jo Li"),
+    }
+    assert len([g for g in got if g[0] == ""]) == 3
+    table = spark.createDataFrame([("SMITH", 1), ("smithson anna", 2)], "who string, n int")
+    assert len(_found(meets.search_lifter(m, table))) == 3
+    patterns = [f"x{i}$" for i in range(120)] + ["li$"]
+    assert _found(meets.search_lifter(m, patterns, regex=True)) == {("li$", 1, "Jo Li")}
+    assert meets.search_lifter(m, []).count() == 0
+
+
+def test_short_words_also_find_rows_without_a_name(spark):
+    m = _meets(spark)
+    unnamed = m.withColumn("Name", F.when(F.col("Name") != "Jo Li", F.col("Name")))
+    for regex in (False, True):
+        got = _found(meets.search_lifter(unnamed, ["zz q", "smith"], regex=regex))
+        assert ("zz q", 2, None) in got and len(got) == 5
+
+
+def test_meet_lists_are_in_order(spark):
+    got = meets.lifter_meets(_meets(spark), ["zz q", "smith"]).collect()
+    place = [(r["query"], str(r["Date"] or "")) for r in got]
+    assert place == sorted(place) and len(place) == 5
+
+
 def test_search_has_no_unbounded_join(spark):
     names = [f"name {i}" for i in range(20)]
     df = meets.search_lifter(_meets(spark), names)
