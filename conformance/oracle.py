@@ -15,7 +15,8 @@ _PERCENT_ROWS = ", ".join(
     for j, pct in enumerate(line)
 )
 
-LOG = """
+_OWN_ATHLETE = "CASE WHEN c_custkey % 40 = 7 THEN c_custkey + 1000 ELSE c_nationkey END"
+LOG = f"""
 entry AS (
   SELECT *, CASE p_type
       WHEN 'ECONOMY' THEN 'Low Bar Squat' WHEN 'STANDARD' THEN 'Hack Squat'
@@ -26,8 +27,7 @@ entry AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
 log AS (
-  SELECT CAST(CASE WHEN c_custkey % 40 = 7 THEN c_custkey + 1000 ELSE c_nationkey END
-      AS BIGINT) AS athlete_id,
+  SELECT CAST({_OWN_ATHLETE} AS BIGINT) AS athlete_id,
     CAST(l_shipdate AS DATE) AS "Date",
     'Block ' || year(o_orderdate) AS "Block",
     'Day ' || isodow(l_shipdate) AS "Day",
@@ -463,14 +463,23 @@ def statements() -> dict[str, str]:
             f" (SELECT {_LOG_COLUMNS} FROM log)",
         ),
         "read_cells": """
-WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1
-    AS row_idx FROM part)
-SELECT p_brand AS block, row_idx, CAST(0 AS BIGINT) AS col_idx,
+WITH s AS (SELECT *, CAST(0 AS BIGINT) AS athlete_id,
+    p_brand || ' ' || (p_partkey // 2000) AS sheet FROM part),
+t AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY p_partkey) - 1
+    AS row_idx FROM s)
+SELECT athlete_id, sheet AS block, row_idx, CAST(0 AS BIGINT) AS col_idx,
   CAST(p_partkey AS VARCHAR) AS value FROM t
-UNION ALL SELECT p_brand, row_idx, 1, p_name FROM t
-UNION ALL SELECT p_brand, row_idx, 2, p_type FROM t
-UNION ALL SELECT p_brand, row_idx, 3, CAST(p_size AS VARCHAR) FROM t
-UNION ALL SELECT p_brand, row_idx, 4, CAST(p_retailprice AS VARCHAR) FROM t""",
+UNION ALL SELECT athlete_id, sheet, row_idx, 1, p_name FROM t
+UNION ALL SELECT athlete_id, sheet, row_idx, 2, p_type FROM t
+UNION ALL SELECT athlete_id, sheet, row_idx, 3, CAST(p_size AS VARCHAR) FROM t
+UNION ALL SELECT athlete_id, sheet, row_idx, 4, CAST(p_retailprice AS VARCHAR) FROM t""",
+        "sheets_to_1rm": _with(
+            RM.replace(_OWN_ATHLETE, "c_custkey // 60"),
+            f"""SELECT {_KEYS}, round(est, 4) AS "Max_1RM", "Date",
+  "Load" AS "Weight_Used", "Reps", "RPE" FROM rm
+QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY est DESC NULLS LAST,
+  "Date" NULLS LAST, "Load" NULLS LAST, "Reps" NULLS LAST, "RPE" NULLS LAST) = 1""",
+        ),
         "read_meets": """
 WITH t AS (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price
   FROM orders)

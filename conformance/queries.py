@@ -100,14 +100,25 @@ def read_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Parts written as one header-less CSV sheet per brand and read back."""
+    """Parts written as header-less CSV sheets of a few hundred rows and read back."""
     path = views.scratch(spark, "sheets")
-    parts = views.table(spark, d, "part").withColumnRenamed("p_brand", "sheet")
+    piece = F.expr("p_partkey div 2000").cast("string")
+    parts = views.table(spark, d, "part").select(
+        F.concat("p_brand", F.lit(" "), piece).alias("sheet"),
+        "p_partkey", "p_name", "p_type", "p_size", "p_retailprice",
+    )
     ordered = parts.repartition("sheet").sortWithinPartitions("sheet", "p_partkey")
     ordered.write.partitionBy("sheet").csv(path)
-    return comparable(
-        readers.read_cells(spark, path, len(parts.columns), folder="sheet")
-    )
+    return comparable(readers.read_cells(spark, path, folder="sheet"))
+
+
+def sheets_to_1rm(spark: SparkSession, d: str) -> DataFrame:
+    """CSV sheets to the log to the best estimates."""
+    path = views.scratch(spark, "team-sheets")
+    views.write_sheets(spark, d, path)
+    cells = readers.read_cells(spark, path, folder="Block", athlete="athlete_id")
+    log = with_1rm(main_lifts(normalize.normalize(cells)))
+    return comparable(progress.max_1rm_by_lift(log))
 
 
 def read_meets(spark: SparkSession, d: str) -> DataFrame:
@@ -310,6 +321,7 @@ def registry() -> dict[str, Query]:
         # sources and sinks
         "read_log": read_log,
         "read_cells": read_cells,
+        "sheets_to_1rm": sheets_to_1rm,
         "read_meets": read_meets,
         "write_log": write_log,
         "ingest_grids": ingest,

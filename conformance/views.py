@@ -48,7 +48,9 @@ def _half_pounds(price: Column) -> Column:
     return F.floor(cents / 7000.0 + 0.5) / 2.0
 
 
-def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_log(
+    spark: SparkSession, sf_dir: str, athlete: Column | None = None
+) -> DataFrame:
     """Order lines as training entries: 25 athletes with many, others with few."""
     c = F.col
     kind = c("p_type")
@@ -77,9 +79,11 @@ def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = c("c_custkey") % 40 == 7
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey",
-        F.when(own, (c("c_custkey") + 1000).cast("int"))
-        .otherwise(c("c_nationkey"))
-        .alias("athlete_id"),
+        (
+            F.when(own, (c("c_custkey") + 1000).cast("int")).otherwise(c("c_nationkey"))
+            if athlete is None
+            else athlete.cast("int")
+        ).alias("athlete_id"),
         (c("c_custkey") % 80 == 7).alias("steady"),
     )
     skipped = (c("l_tax") == 0.08) & (c("l_returnflag") == "R")
@@ -189,6 +193,66 @@ def raw_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The log of teams of sixty customers as CSV sheets, one per team and block.
+
+    Sheets have blank lines before each day, some also as their first line, and those of
+    odd teams have weeks of 24 columns, which makes them wider than 1500 columns.  Their
+    number grows with the customers, not their size.
+    """
+    log = training_log(spark, sf_dir, F.floor(F.col("c_custkey") / 60))
+    sheet = W.partitionBy("athlete_id", "Block")
+    week = F.date_trunc("week", F.col("Date")).cast("date")
+    wide = F.when(F.col("athlete_id") % 2 == 1, 2 * WEEK_WIDTH).otherwise(WEEK_WIDTH)
+    placed = (
+        log.withColumn("week", week)
+        .withColumn("first", F.min("week").over(sheet))
+        .withColumn("base", (F.floor(F.datediff("week", "first") / 7) * wide).cast("int"))
+    )
+    key = ["athlete_id", "Block"]
+    commas = lambda n: F.repeat(F.lit(","), n)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    entries = placed.select(
+        *key, "base", F.weekday("Date").alias("weekday"), F.lit(2).alias("kind"),
+        F.concat(
+            commas(F.col("base")), F.lit('"'), "Exercise", F.lit('"'),
+            commas(F.lit(OFFSETS["load"])), text("Load"), F.lit(","), text("Sets"),
+            F.lit(","), text("Reps"), F.lit(","), text("RPE"),
+        ).alias("value"),
+    )
+    days = placed.select(*key, "base", F.weekday("Date").alias("weekday"), "Day").distinct()
+    lines = days.select(
+        *key, "base", "weekday",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("kind"), F.lit("").alias("value")),
+                F.struct(F.lit(1).alias("kind"), F.concat(commas(F.col("base")), "Day").alias("value")),
+            )
+        ).alias("line"),
+    ).select(*key, "base", "weekday", "line.*")
+    weeks = placed.select(*key, "base", F.date_format("week", "yyyy-MM-dd").alias("text")).distinct()
+    before = F.lag("base", 1, 0).over(W.partitionBy(*key).orderBy("base"))
+    header = (
+        weeks.withColumn("text", F.concat(commas(F.col("base") - before), "text"))
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("base", "text"))).alias("parts"))
+        .select(*key, F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("value"))
+    )
+    top = header.select(
+        *key,
+        F.explode(
+            F.array(
+                F.struct(F.lit(-2).alias("base"), F.when(F.col("athlete_id") % 3 == 0, "").otherwise("Log").alias("value")),
+                F.struct(F.lit(-1).alias("base"), F.col("value")),
+            )
+        ).alias("line"),
+    ).select(*key, "line.base", F.lit(0).alias("weekday"), F.lit(0).alias("kind"), "line.value")
+    whole = top.unionByName(lines).unionByName(entries)
+    order = [*key, "base", "weekday", "kind", "value"]
+    dealt = whole.repartition(*key).sortWithinPartitions(*order)
+    dealt.select(*key, "value").write.partitionBy(*key).text(path)
+
+
 # Rows of one training day that are numbered by one task.
 _LANES = 64
 # Sheet rows reserved per training day.

@@ -30,12 +30,21 @@ def read_log(
     path: str | list[str],
     fmt: str = "csv",
     schema: T.StructType = schemas.LOG,
+    athlete: int | None = None,
 ) -> DataFrame:
-    """Training log with an explicit schema, NaN already turned into null."""
+    """Training log with an explicit schema, NaN already turned into null.
+
+    ``athlete`` is for files of one athlete, which have no ``athlete_id``.
+    """
+    if athlete is not None:
+        schema = T.StructType([f for f in schema.fields if f.name != "athlete_id"])
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
-    return nan_to_null(reader.format(fmt).load(path))
+    log = nan_to_null(reader.format(fmt).load(path))
+    if athlete is not None:
+        log = log.select(F.lit(athlete).cast("int").alias("athlete_id"), "*")
+    return log
 
 
 def _block_name(folder: str | None) -> Column:
@@ -45,41 +54,72 @@ def _block_name(folder: str | None) -> Column:
     return F.url_decode(stem)
 
 
+# A run of commas, the field behind it, and the line break if it ends the line.
+_FIELD = (
+    r',*+("[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+)(?:\r\n|\n|\r|\z|(?=,))'
+)
+
+
 def read_cells(
     spark: SparkSession,
     path: str | list[str],
-    width: int = 1024,
     folder: str | None = None,
+    athlete: int | str = 0,
 ) -> DataFrame:
     """Header-less CSV sheets, one file per training block, as grid cells.
 
-    A sheet is read by one task (``multiLine`` files are not split), which
-    keeps its rows in order; sheets are read in parallel.  ``width`` is the
-    number of columns of the widest sheet; shorter rows are padded.  The block
-    is the file name or, with ``folder``, the value in ``<folder>=<block>/``.
-    Exports must keep blank rows (as ``,,``): a row is found by its position.
+    Nothing is lost: a sheet may have any number of columns, and blank lines count as
+    rows, so every cell keeps its place.  Empty cells yield no row.  The block is the
+    file name or, with ``folder``, the value in ``<folder>=<block>/``; ``athlete`` is
+    the athlete's number or the name of the folder level ``<athlete>=<number>/``.
+
+    A sheet is one record, cut into fields by one expression; sheets are read in
+    parallel.  Quoted fields may hold commas, quotes and line breaks.
     """
-    names = [f"c{i}" for i in range(width)]
-    wide = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = (
-        spark.read.schema(wide)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("maxColumns", max(20480, width))
-        .csv(path)
+    text = F.regexp_replace("value", "^\ufeff", "")
+    fields = F.regexp_extract_all(text, F.lit(_FIELD), F.lit(0))
+    owner = F.lit(athlete) if isinstance(athlete, int) else F.col(athlete)
+    sheets = (
+        spark.read.text(path, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("_file"),
+            owner.cast("int").alias("athlete_id"),
             _block_name(folder).alias("block"),
-            F.monotonically_increasing_id().alias("_seq"),
-            F.array(*names).alias("_values"),
+            # behind the last field an empty one is found
+            F.slice(fields, 1, F.size(fields) - 1).alias("_fields"),
         )
     )
-    in_file = W.partitionBy("_file").orderBy("_seq")
-    numbered = rows.withColumn(
-        "row_idx", (F.row_number().over(in_file) - 1).cast("long")
+    before = (
+        W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    )
+    commas = F.length(F.regexp_extract("_field", r"\A,*", 0))
+    value = F.regexp_replace("_field", r"(\r\n|\n|\r)\z", "")
+    value = F.regexp_replace(value, r"\A,+", "")
+    ends = F.col("_field").rlike(r"[\r\n]\z")
+    passed = F.coalesce(F.sum("_commas").over(before), F.lit(0)) + F.col("_commas")
+    cut = (
+        sheets.select(
+            "_file", "athlete_id", "block", F.posexplode("_fields").alias("_at", "_field")
+        )
+        .withColumns({"_commas": commas, "_value": value, "_ends": ends})
+        .withColumns(
+            {
+                "row_idx": F.coalesce(F.count_if("_ends").over(before), F.lit(0)),
+                "_passed": passed,
+            }
+        )
+        # commas up to the end of the line before
+        .withColumn("_base", F.max(F.when(F.col("_ends"), F.col("_passed"))).over(before))
     )
-    return numbered.select(
-        "block", "row_idx", F.posexplode("_values").alias("col_idx", "value")
+    quoted = F.col("_value").rlike(r'(?s)\A".*"\z')
+    inner = F.substring("_value", F.lit(2), F.length("_value") - 2)
+    plain = F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.col("_value"))
+    return cut.select(
+        "athlete_id",
+        "block",
+        F.col("row_idx").cast("long").alias("row_idx"),
+        (F.col("_passed") - F.coalesce("_base", F.lit(0))).cast("int").alias("col_idx"),
+        F.nullif(plain, F.lit("")).alias("value"),
     ).filter(F.col("value").isNotNull())
 
 

@@ -17,7 +17,7 @@ QUERIES, ORACLE = registry(), statements()
 # Queries that write and read files before they return.
 EAGER = {
     "read_log", "read_cells", "read_meets", "write_log", "ingest_grids",
-    "incremental_ingest",
+    "incremental_ingest", "sheets_to_1rm",
 }
 TYPES = {
     "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",

@@ -114,7 +114,7 @@ def test_csv_sheets(spark, tmp_path):
     )
     (tmp_path / "Block A.csv").write_text(sheet)
     (tmp_path / "Empty.csv").write_text("")
-    cells = readers.read_cells(spark, str(tmp_path), width=16)
+    cells = readers.read_cells(spark, str(tmp_path))
     got = rows(nz.normalize(cells, sheet=["block"]), "Exercise")
     assert len(got) == 1
     assert got[0]["Block"] == "Block A" and got[0]["Exercise"] == "Squat, paused"

@@ -89,3 +89,28 @@ def test_incremental(spark, tmp_path):
     assert sync() == {("A", "Squat"), ("A", "Bench"), ("B", "Deadlift")}
     assert read_ingested(spark, out).count() == 3
     assert read_ingested(spark, out, validated=False).count() == 3
+
+
+def test_logs_of_one_athlete_need_no_athlete_column(spark, tmp_path):
+    names = [f.name for f in schemas.LOG.fields][1:]
+    (tmp_path / "log.csv").write_text(
+        ",".join(names) + "\n2024-01-01,B,Day 1,Squat,1,5,100,8,,Squat\n"
+    )
+    got = readers.read_log(spark, str(tmp_path / "log.csv"), athlete=4)
+    assert got.schema.names == schemas.LOG.names
+    assert got.first().athlete_id == 4 and got.first().Load == 100
+
+
+def test_sheets_keep_every_cell_and_every_line(spark, tmp_path):
+    wide = "," * 3000 + "far"
+    text = '\n\n"a, ""b""\nc",,x\r\n' + wide + "\n\r\n,last"
+    (tmp_path / "Block 1.csv").write_bytes(("\ufeff" + text).encode())
+    (tmp_path / "Empty.csv").write_text("")
+    (tmp_path / "Ended.csv").write_text("p\n")
+    got = rows(readers.read_cells(spark, str(tmp_path), athlete=3), "block", "row_idx", "col_idx")
+    assert [(r["block"], r["row_idx"], r["col_idx"], r["value"]) for r in got] == [
+        ("Block 1", 2, 0, 'a, "b"\nc'), ("Block 1", 2, 2, "x"), ("Block 1", 3, 3000, "far"),
+        ("Block 1", 5, 1, "last"), ("Ended", 0, 0, "p"),
+    ]
+    assert {r["athlete_id"] for r in got} == {3}
+    assert normalize(readers.read_cells(spark, str(tmp_path))).count() == 0
