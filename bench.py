@@ -13,7 +13,6 @@ import time
 
 from pyspark.sql import SparkSession
 
-from conformance import views
 from conformance.queries import registry
 from ironlog.session import tuned
 
@@ -69,10 +68,6 @@ def main() -> None:
     queries["date_coverage"](spark, sf_dir).collect()
 
     seconds = {}
-    if "normalize" in chosen:
-        start = time.perf_counter()
-        views.cells(spark, sf_dir)
-        seconds["store_grids"] = round(time.perf_counter() - start, 3)
     for name in chosen:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -7,7 +7,10 @@ grids.  All of it is lazy, native and free of hand-picked join strategies.
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +20,6 @@ from pyspark.sql import Window as W
 
 from ironlog.functions.parsing import classify_lift
 from ironlog.operators.normalize import HEADER_ROW, OFFSETS, WEEK_WIDTH
-from ironlog.sources.readers import read_exploded_cells
 
 # "Now" of every report: the day after the newest possible entry.
 AS_OF = "2002-01-01"
@@ -32,11 +34,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the storage that all executors share."""
+    """A new folder in the storage that all executors share, gone when the session ends.
+
+    That storage is ``spark.checkpoint.dir``.  Only under a local master, where the
+    driver is the only machine, a temporary folder may stand in for it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = os.path.join(tempfile.gettempdir(), "ironlog-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = _own_folder()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="ironlog-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _half_pounds(price: Column) -> Column:
@@ -259,21 +284,7 @@ _LANES = 64
 _DAY_ROWS = 10**12
 
 
-# Grids already stored, per application and table folder.
-_stored: dict[tuple[str, str], str] = {}
-
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grids as a stored table, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        path = scratch(spark, "cells")
-        derived_cells(spark, sf_dir).write.parquet(path)
-        _stored[key] = path
-    return read_exploded_cells(spark, _stored[key], fmt="parquet")
-
-
-def derived_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training log laid out as grids: the inverse of ``normalize``.
 
     One sheet per athlete and block, one week per twelve columns, one label row
