@@ -657,7 +657,11 @@ WHERE regexp_matches("Exercise", '(?i)bar|^rd')""",
         "reconcile_raw": _with(
             LOG,
             """SELECT DISTINCT athlete_id, "Block" AS block, "Date", "Exercise",
-  true AS found, "Exercise" AS raw_exercise FROM log""",
+  true AS found, "Exercise" AS raw_exercise FROM log
+UNION ALL SELECT DISTINCT athlete_id, "Block", "Date", 'Paused ' || "Exercise",
+  false, NULL FROM log WHERE "Reps" = 3
+UNION ALL SELECT DISTINCT athlete_id, "Block", "Date", 'low BAR',
+  true, "Exercise" FROM log WHERE "Exercise" = 'Low Bar Squat'""",
         ),
         # one-rep max
         "rm_epley": _value("epley"),
