@@ -1,7 +1,8 @@
 """Trend fits, forecasts, goals and competition attempts.
 
 A series is first reduced to one value per day, so all later windows and sums
-run over at most ``days_back + 1`` rows per key.  Every key of the input gets a
+run over at most one row per calendar day and key; days outside the window are
+kept, flagged, so that their keys are.  Every key of the input gets a
 row; what cannot be computed is told by ``status``, never by a missing row.
 """
 
