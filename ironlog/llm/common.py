@@ -35,16 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors.
-
-    The table goes when the application ends.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/{label}-{os.getpid()}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

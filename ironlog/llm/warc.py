@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ironlog.llm.common import shared_dir, stored
+from ironlog.llm.common import new_path, stored
 
 #: Records in an archive, unless the longest pages would make it larger than MOST_BYTES.
 RECORDS, MOST_BYTES = 2048, 1 << 30
@@ -252,7 +251,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     Null html is an empty payload; null urls have no target line; repeated rows give records of their own.
     """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(pages, path)
     found = read_archives(spark, path, payloads=False, pattern="part-*").where("fault IS NULL")
     kind = pages.schema["page_id"].dataType
