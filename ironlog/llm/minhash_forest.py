@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ironlog.llm.common import only, stored
@@ -18,6 +18,8 @@ WIDTH = 5
 VALUES, TREES, STEP, LEVELS = 128, 16, 4, 4
 #: A region with more members than this is read at the next depth.
 REGION = 8
+#: Members whose common shingles are a crowd's reference; rows of a crowd or of one shingle that a task takes at a time.
+SAMPLE, LANE = 63, 1000
 #: Standard deviations below the threshold at which a signature's estimate still sends a pair to the exact check.
 SLACK = 5.0
 
@@ -101,6 +103,7 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Copies of one text may each be close to that text only and not to each other.  So all members of a large region, at
     each level, are also paired with its hub: the member that shares most prefixes with others over all trees and levels.
+    What the hub and the dealt regions leave apart is searched by ``crowd_links``.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     live = nodes.select("node", "n_shingles", "signature", trees.alias("tree"))
@@ -147,9 +150,10 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: neighbours in some order whose signatures allow the asked similarity."""
+def candidate_pairs(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, alike) with a < b: neighbours in some order whose signatures allow the asked similarity; and the large regions' (node, hub)."""
     regions, stars = _regions(nodes)
+    stars = stored(stars, "hubs")
     left = regions.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("a_n"))
     right = regions.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("b_n"))
     pairs = left.join(right, "key").where("a < b").select("a", "a_n", "b", "b_n")
@@ -165,7 +169,7 @@ def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
         of.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b"
     )
     alike = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same))
-    return stored(both.select("a", "b", alike.alias("alike")).where(F.col("alike") >= least), "candidates")
+    return stored(both.select("a", "b", alike.alias("alike")).where(F.col("alike") >= least), "candidates"), stars.select("node", "hub")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -199,6 +203,130 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, percent), f"a {kind}, b {kind}")
 
 
+def _reference(key: tuple, rows: pa.Table) -> pa.Table:
+    """The shingles that more than half of a crowd's sampled members hold."""
+    sets = [np.frombuffer(s.as_buffer(), _U) for s in rows.column("shingles")]
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    return pa.table({"crowd": [key[0]], "reference": pa.array([values[2 * counts > len(sets)].tobytes()], pa.binary())})
+
+
+def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The shingles that a member and its crowd's reference do not share, and the member's weight."""
+    for batch in batches:
+        apart, weights, sizes = [], [], []
+        for x, y in zip(batch.column(3), batch.column(4), strict=True):
+            p = np.frombuffer(x.as_buffer(), _U)
+            d = np.setxor1d(p, np.frombuffer(y.as_buffer(), _U), assume_unique=True)
+            apart.append(d.tobytes())
+            sizes.append(len(d))
+            weights.append((100 + percent) * len(d) - (100 - percent) * len(p))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(weights, pa.int64()), pa.array(sizes, pa.int64()), pa.array(apart, pa.binary())],
+            ["node", "crowd", "part", "weight", "n_apart", "apart"],
+        )
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of ``apart``, the last column."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(part.num_columns - 1)]
+            of = pa.array(np.repeat(np.arange(len(sets)), [len(d) for d in sets]))
+            flat = pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in part.columns[:-1]), flat], [*part.schema.names[:-1], "token"])
+
+
+def _share(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        wanted = batch.column(2).to_numpy()
+        for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+            common = np.intersect1d(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), assume_unique=True)
+            keep[i] = wanted[i] <= 2 * (100 + percent) * len(common)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def _rooted(rows: DataFrame, known: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``node`` so far, itself if it has no link."""
+    at = known.select(F.col("node").alias(node), F.col("component").alias("__root"))
+    return rows.join(at, node, "left").withColumn(name, F.coalesce("__root", node)).drop("__root")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The (crowd) ids whose members are in several components."""
+    return members.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("crowd")
+
+
+def crowd_links(stars: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """Links that join the components ``known`` as all similar pairs inside large regions would; None if there are none to look for.
+
+    Large regions that share members or hubs are one crowd.  Any set R may be its reference; here it is what most of a
+    sample of its members hold, which restores a common original that is not in the table.  With D(a) the shingles that
+    a and R do not share and weight w(a) = (100 + percent) |D(a)| - (100 - percent) |a|, a pair is similar exactly when
+    w(a) + w(b) <= 2 (100 + percent) |D(a) & D(b)|.  So:
+
+    - pairs with w(a) + w(b) <= 0 are similar, and linking each such member with the crowd's least weight connects them all;
+    - any other similar pair shares a shingle of D among the first |D| - k + 1 of both, in one order, k being the number it
+      must share.  Rarest first, these meet by equality, in lanes where many members hold one.
+    """
+    across = _rooted(_rooted(stars, known, "node", "x"), known, "hub", "y").where("x <> y")
+    if across.isEmpty():
+        return None
+    crowds = stored(components(stars, "node", "hub").select("node", F.col("component").alias("crowd")), "crowds")
+    members = _rooted(crowds, known, "node", "root")
+    members = stored(members.join(_open(members), "crowd", "left_semi").select("node", "crowd"), "members")
+
+    ids = members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sets = shingle_sets(ids, docs).withColumn("part", F.xxhash64("shingles")).dropDuplicates(["node", "part"])  # an id may have several texts
+    held = members.join(sets, "node")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    order = Window.partitionBy("crowd").orderBy(F.xxhash64("node"), "node")
+    sample = members.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= SAMPLE)
+    sample = held.join(sample.select("node"), "node", "left_semi")
+    references = sample.groupBy("crowd").applyInArrow(_reference, f"crowd {kind}, reference binary")
+    lanes = members.groupBy("crowd").agg(F.ceil(F.count("*") / LANE).cast("int").alias("lanes"))
+    references = references.join(lanes, "crowd").select("crowd", "reference", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
+    dealt = held.join(lanes, "crowd").withColumn("lane", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int"))
+    both = dealt.join(references, ["crowd", "lane"]).select("node", "crowd", "part", "shingles", "reference")
+    apart = stored(both.mapInArrow(lambda it: _differences(it, percent), f"node {kind}, crowd {kind}, part long, weight long, n_apart long, apart binary"), "apart")
+
+    centres = stored(apart.groupBy("crowd").agg(F.min_by(F.struct("node", "weight"), F.struct("weight", "node")).alias("c")).select("crowd", "c.*"), "centres")
+    centres = centres.select("crowd", F.col("node").alias("centre"), F.col("weight").alias("least"))
+    near = apart.drop("apart").join(centres, "crowd").where("node <> centre AND weight + least <= 0")
+    links = stored(near.select(F.col("node").alias("a"), F.col("centre").alias("b")), "links")
+    edges = links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    now = stored(components(edges, "a", "b"), "known")
+
+    rooted = _rooted(apart, now, "node", "root")
+    need = F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least")) / (2 * (100 + percent)))).cast("long")
+    live = rooted.join(_open(rooted.drop("apart")), "crowd", "left_semi").join(centres, "crowd").withColumn("need", need).where("need <= n_apart")
+    live = stored(live.select("node", "crowd", "part", "root", "weight", "n_apart", "need", "apart"), "live")
+    if live.isEmpty():
+        return links
+    fields = f"node {kind}, crowd {kind}, part long, root {kind}, weight long, n_apart long, need long"
+    tokens = stored(live.select("node", "crowd", "part", "root", "weight", "n_apart", "need", "apart").mapInArrow(_tokens, f"{fields}, token long"), "tokens")
+    counts = tokens.groupBy("crowd", "token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    place = Window.partitionBy("crowd", "node", "part").orderBy("n", "token")
+    ranked = tokens.join(counts, ["crowd", "token"]).withColumn("place", F.row_number().over(place))
+    ranked = stored(ranked.where("low <> high AND place <= n_apart - need + 1").withColumn("lanes", F.ceil(F.col("n") / LANE).cast("int")), "ranked")
+    side = lambda x, lane: ranked.select(
+        "crowd", "token", lane.alias("lane"), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "part", "root", "weight", "n_apart", "place"))
+    )
+    met = side("a", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int")).join(
+        side("b", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))), ["crowd", "token", "lane"]
+    )
+    wanted = F.col("a_weight") + F.col("b_weight")
+    share = F.greatest(F.lit(1), F.ceil(wanted / (2 * (100 + percent))))
+    met = met.where("a_node < b_node AND a_root <> b_root")
+    met = met.where((F.col("a_place") <= F.col("a_n_apart") - share + 1) & (F.col("b_place") <= F.col("b_n_apart") - share + 1))
+    met = stored(met.select("a_node", "a_part", "b_node", "b_part", wanted.alias("wanted")).distinct(), "met")
+    of = lambda x: live.select(*(F.col(c).alias(f"{x}_{c}") for c in ("node", "part", "apart")))
+    met = met.join(of("a"), ["a_node", "a_part"]).join(of("b"), ["b_node", "b_part"])
+    met = met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "wanted", "a_apart", "b_apart")
+    return links.unionByName(stored(met.mapInArrow(lambda it: _share(it, percent), f"a {kind}, b {kind}"), "links"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -212,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     marks = ["mark_a", "mark_b", "n_shingles"]
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = stored(named.groupBy(*marks).agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature")), "nodes")
-    pairs = candidate_pairs(nodes.select("node", "n_shingles", "signature"), percent)
+    pairs, stars = candidate_pairs(nodes.select("node", "n_shingles", "signature"), percent)
 
     # First each node's most similar partner, then only pairs that this has not yet connected.
     best = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike")).groupBy("a").agg(
@@ -232,6 +360,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     twice = same.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = first.unionByName(second).unionByName(twice)
     found = stored(components(links, "a", "b"), "found")
+    if (more := crowd_links(stars, found, docs, percent)) is not None:
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored(components(known.unionByName(more), "a", "b"), "found")
 
     of = nodes.join(found, "node", "left").select(*marks, F.coalesce("component", "node").alias("root"))
     out = rows.join(stored(of, "roots"), marks, "left")

@@ -6,6 +6,7 @@ import re
 from itertools import combinations
 
 import cases
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,35 @@ def test_components_of_a_long_chain_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 501 + i) for i in range(50)] + [(7, 7), (None, 3), (900, 899)]
     got = dict(cases.rows(components(spark.createDataFrame(edges, "x long, y long"), "x", "y")))
     assert got == {**dict.fromkeys(range(101), 0), **dict.fromkeys(range(500, 551), 500), 899: 899, 900: 899}
+
+
+def _copies(n, most, seed):
+    """Copies of one text that is not among them, each with one to ``most`` changed words."""
+    rng = random.Random(seed)
+    base = cases.prose(seed, 400).split()
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randint(1, most)):
+            w[at] = f"w{i}x{at}"
+        yield i, " ".join(w)
+
+
+def _same_groups(got, made, percent):
+    """Do (doc_id, component_id) pairs follow the plain rule?  The sets share so much that they are compared as a matrix."""
+    sets = [shingles(t) for _, t in made]
+    place = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[x] for x in s]] = 1
+    common = held @ held.T
+    sizes = held.sum(axis=1)
+    a, b = np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None] - common), 1))
+    root = cases.roots(range(len(made)), zip(a.tolist(), b.tolist(), strict=True))
+    return got == {made[i][0]: made[root[i]][0] for i in range(len(made))}
+
+
+@pytest.mark.parametrize(("n", "most"), [(300, 9), (1500, 9)])
+def test_near_copies_of_an_absent_original(spark, n, most):
+    made = list(_copies(n, most, 11))
+    got = minhash_forest.near_duplicates(cases.documents(spark, made)).select("doc_id", "component_id").collect()
+    assert _same_groups({r[0]: r[1] for r in got}, made, 85)
