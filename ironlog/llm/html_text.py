@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Lines in a window; characters that a window must hold for text to surge outside an article; least part of the
-#: largest window at which a further stretch of text still belongs to the page's main text.
+#: Lines in a window; characters that a window must hold for text to surge outside an article; least part of the largest window at which a further stretch of text still belongs to the
+#: page's main text where the page does not name its article.
 WINDOW, SURGE, PART = 3, 60, 0.15
 
 _TAG = re.compile(
@@ -163,10 +163,12 @@ def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none.
 
     Markup is stripped and every block-level element makes lines.  Menus, headers, footers, sidebars, notices, adverts,
-    forms and comments go where elements or their names say so, unless they hold the article.  If the page names its article (``article``, else ``main``),
-    all other lines of the largest one are the text.  Else the page is narrowed to the element that holds most of the
-    text outside links, and the line blocks decide: text is kept from where the text of WINDOW lines surges to where it
-    dives, in each stretch whose largest window is SURGE characters and not far below the page's largest.
+    forms and comments go where elements or their names say so, unless they hold the article.
+
+    Then line blocks decide: text is kept from where the text of WINDOW lines surges to where it dives.  If the largest ``article``
+    element, else ``main``, holds most of the text outside links, it is the weight: its lines count in full, links
+    included, and others for nothing.  Else lines count without links, in the element that holds most of the text, and a stretch
+    far below the page's largest is left out.
     """
     if not html:
         return ""
@@ -183,24 +185,34 @@ def main_text(html: str | None) -> str:
             inner = within[e.begin : e.end].any()
             for i in range(e.begin, e.end):
                 keep[i] &= inner and i in headings
-        elif e.out and not e.holds:
+        elif e.out and e.name in _OUT and not e.holds:
+            keep[e.begin : e.end] = False
+    held = lambda a, b: int(np.where(keep[a:b], outside[a:b], 0).sum())
+    for e in elements:  # outer before inner
+        if e.out and e.name not in _OUT and e.name != "header" and not e.holds:
             keep[e.begin : e.end] = False
-    mass = np.cumsum([0, *np.where(keep, outside, 0)])
-    of = lambda e: int(mass[e.end] - mass[e.begin])
+    begin, end = 0, len(lines)
+    weight = np.where(keep, outside, 0)
+    whole = held(begin, end)
     for kind in ("article", "main"):
+        chosen = np.zeros(len(lines), bool)
         named = [e for e in elements if e.name == kind]
-        if named and of(best := max(named, key=lambda e: (of(e), -e.begin))):
-            return "\n".join(lines[i] for i in range(best.begin, best.end) if keep[i])
-    begin, end = 0, len(lines)
-    held = int(mass[-1])
+        if named:
+            best = max(named, key=lambda e: (held(e.begin, e.end), -e.begin))
+            chosen[best.begin : best.end] = True
+        if 2 * int(weight[chosen].sum()) > whole:
+            weight = np.where(keep & chosen, [len(x) for x in lines], 0)
+            return _chosen(lines, weight, np.flatnonzero(keep & chosen), 0.0)
     for e in elements:  # outer before inner
-        if begin <= e.begin and e.end <= end and of(e) >= 0.7 * held > 0:
-            begin, end, held = e.begin, e.end, of(e)
-    at = [i for i in range(begin, end) if keep[i]]
-    if not at:
-        return ""
-    found = _stretches(outside[at])
-    least = max([SURGE, *(PART * s[2] for s in found)])
+        if begin <= e.begin and e.end <= end and held(e.begin, e.end) >= 0.7 * whole > 0:
+            begin, end, whole = e.begin, e.end, held(e.begin, e.end)
+    return _chosen(lines, weight, begin + np.flatnonzero(keep[begin:end]), PART)
+
+
+def _chosen(lines: list[str], weight: np.ndarray, at: np.ndarray, part: float) -> str:
+    """The lines ``at`` in stretches whose largest window is ``part`` of the largest one or more."""
+    found = _stretches(weight[at])
+    least = max(part * max((top for *_, top in found), default=0), SURGE if part else 0)
     return "\n".join(lines[at[i]] for a, b, top in found if top >= least for i in range(a, b))
 
 

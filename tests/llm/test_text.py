@@ -181,3 +181,17 @@ def test_text_lines_decide_without_named_parts():
     paragraphs = "".join(f"<p>{random.Random(i).random()} {LONG}</p>" for i in range(5))
     text = main_text(f"<body>{links}{paragraphs}{links}</body>")
     assert text.count("\n") == 4 and "link" not in text
+
+
+def _paragraphs(n, seed):
+    return [f"{LONG}{seed} {i}" for i in range(n)]
+
+
+def _html(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_line_blocks_decide_where_articles_hold_little():
+    links = "".join(f"<p><a href=/{i}>link {i}</a></p>" for i in range(9))
+    lines = _paragraphs(5, 6)
+    assert main_text(f"<body><article>{links}<p>Tip.</p></article><div>{_html(lines)}</div></body>") == "\n".join(lines)
