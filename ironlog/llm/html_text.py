@@ -165,8 +165,8 @@ def main_text(html: str | None) -> str:
     Markup is stripped and every block-level element makes lines.  Menus, headers, footers, sidebars, notices, adverts,
     forms and comments go where elements or their names say so, unless they hold the article.
 
-    Then line blocks decide: text is kept from where the text of WINDOW lines surges to where it dives.  If the largest ``article``
-    element, else ``main``, holds most of the text outside links, it is the weight: its lines count in full, links
+    Then line blocks decide: text is kept from where the text of WINDOW lines surges to where it dives.  If the page's ``article``
+    elements, else its ``main``, hold most of the text outside links, they are the weight: their lines count in full, links
     included, and others for nothing.  Else lines count without links, in the element that holds most of the text, and a stretch
     far below the page's largest is left out.
     """
@@ -196,10 +196,9 @@ def main_text(html: str | None) -> str:
     whole = held(begin, end)
     for kind in ("article", "main"):
         chosen = np.zeros(len(lines), bool)
-        named = [e for e in elements if e.name == kind]
-        if named:
-            best = max(named, key=lambda e: (held(e.begin, e.end), -e.begin))
-            chosen[best.begin : best.end] = True
+        for e in elements:
+            if e.name == kind and held(e.begin, e.end):
+                chosen[e.begin : e.end] = True
         if 2 * int(weight[chosen].sum()) > whole:
             weight = np.where(keep & chosen, [len(x) for x in lines], 0)
             return _chosen(lines, weight, np.flatnonzero(keep & chosen), 0.0)

@@ -191,6 +191,13 @@ def _html(lines):
     return "".join(f"<p>{x}</p>" for x in lines)
 
 
+def test_all_articles_of_a_page_count_and_a_teaser_does_not():
+    one, two, body = _paragraphs(4, 1), _paragraphs(2, 2), _paragraphs(6, 3)
+    assert main_text(f"<body><article>{_html(one)}</article><div>x</div><article>{_html(two)}</article></body>") == "\n".join(one + two)
+    text = main_text(f"<body><div>{_html(body)}</div><article class=card><p>A short teaser.</p></article></body>")
+    assert all(x in text for x in body)
+
+
 def test_line_blocks_decide_where_articles_hold_little():
     links = "".join(f"<p><a href=/{i}>link {i}</a></p>" for i in range(9))
     lines = _paragraphs(5, 6)
