@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Lines in a window; characters that a window must hold for text to surge outside an article; least part of the largest window at which a further stretch of text still belongs to the
+#: Lines in a window; least part of the largest window at which a further stretch of text still belongs to the
 #: page's main text where the page does not name its article.
-WINDOW, SURGE, PART = 3, 60, 0.15
+WINDOW, PART = 3, 0.15
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -163,7 +163,8 @@ def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none.
 
     Markup is stripped and every block-level element makes lines.  Menus, headers, footers, sidebars, notices, adverts,
-    forms and comments go where elements or their names say so, unless they hold the article.
+    forms and comments go where elements or their names say so, unless they hold the article; a class or id does not remove what holds
+    most of the text outside links of the article around it, or of a page without one.
 
     Then line blocks decide: text is kept from where the text of WINDOW lines surges to where it dives.  If the page's ``article``
     elements, else its ``main``, hold most of the text outside links, they are the weight: their lines count in full, links
@@ -190,7 +191,10 @@ def main_text(html: str | None) -> str:
     held = lambda a, b: int(np.where(keep[a:b], outside[a:b], 0).sum())
     for e in elements:  # outer before inner
         if e.out and e.name not in _OUT and e.name != "header" and not e.holds:
-            keep[e.begin : e.end] = False
+            a, b = _around(e, elements, len(lines))
+            named = within.any() and not within[e.begin : e.end].any()
+            if named or 2 * held(e.begin, e.end) <= held(a, b):
+                keep[e.begin : e.end] = False
     begin, end = 0, len(lines)
     weight = np.where(keep, outside, 0)
     whole = held(begin, end)
@@ -208,10 +212,20 @@ def main_text(html: str | None) -> str:
     return _chosen(lines, weight, begin + np.flatnonzero(keep[begin:end]), PART)
 
 
+def _around(e: _Element, elements: list[_Element], n: int) -> tuple[int, int]:
+    """The lines of the article around an element, else of the page."""
+    at = e.parent
+    while at >= 0:
+        if elements[at].name in ("article", "main"):
+            return elements[at].begin, elements[at].end
+        at = elements[at].parent
+    return 0, n
+
+
 def _chosen(lines: list[str], weight: np.ndarray, at: np.ndarray, part: float) -> str:
     """The lines ``at`` in stretches whose largest window is ``part`` of the largest one or more."""
     found = _stretches(weight[at])
-    least = max(part * max((top for *_, top in found), default=0), SURGE if part else 0)
+    least = part * max((top for *_, top in found), default=0)
     return "\n".join(lines[at[i]] for a, b, top in found if top >= least for i in range(a, b))
 
 

@@ -198,6 +198,20 @@ def test_all_articles_of_a_page_count_and_a_teaser_does_not():
     assert all(x in text for x in body)
 
 
+def test_class_names_do_not_remove_most_of_the_text():
+    lines = _paragraphs(5, 4)
+    for name in ("content has-sidebar", "with-comments"):
+        assert main_text(f"<body><div class='{name}'>{_html(lines)}</div></body>") == "\n".join(lines)
+    for name in ("body share-enabled", "social-history"):
+        assert main_text(f"<body><article><h1>Title</h1><div class='{name}'>{_html(lines)}</div></article></body>") == "\n".join(["Title", *lines])
+    small = main_text(f"<body><article>{_html(lines)}</article><div class=comments>{_html(_paragraphs(20, 5))}</div></body>")
+    assert small == "\n".join(lines)
+
+
+def test_a_short_text_without_named_parts_is_kept():
+    assert main_text("<body><nav><a href=/>Home</a></nav><div><p>A short note.</p></div></body>") == "A short note."
+
+
 def test_line_blocks_decide_where_articles_hold_little():
     links = "".join(f"<p><a href=/{i}>link {i}</a></p>" for i in range(9))
     lines = _paragraphs(5, 6)
