@@ -11,6 +11,10 @@ from ironlog.llm.common import stored, table
 from ironlog.llm.queries import RANKS
 
 
+#: Similarity of five-word shingle sets, in percent, from which the near_dedup stage links two documents.
+NEAR = 85
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model does not reject; it learns from ``labels``, held-out rows excepted."""
     return classifier.accepted(docs, table(spark, sf_dir, "labels"))
@@ -22,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
-    return minhash_forest.survivors(docs)
+    """Of each group of near duplicates, linked at a similarity of NEAR percent, the document with the smallest doc_id."""
+    return minhash_forest.survivors(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

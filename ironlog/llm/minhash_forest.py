@@ -16,6 +16,8 @@ from ironlog.llm.words import mix, shingle_hashes, stream, word_hashes
 WIDTH = 5
 #: Signature values, sorted orders ("trees"), and values by which an order grows deeper.
 VALUES, TREES, STEP, LEVELS = 128, 16, 4, 4
+#: Chance that two documents of the asked similarity agree on the first STEP values of no tree; lower similarities get more trees.
+MISS = 1e-5
 #: A region with more members than this is read at the next depth.
 REGION = 8
 #: Members whose common shingles are a crowd's reference; rows of a crowd or of one shingle that a task takes at a time.
@@ -87,13 +89,19 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _deeper(key: Column, level: int) -> Column:
+def _trees(percent: int) -> int:
+    """TREES, or so many more, up to one for each STEP values, that pairs at the threshold are missed by less than MISS."""
+    agree = (percent / 100) ** STEP
+    return TREES if (1 - agree) ** TREES < MISS else VALUES // STEP
+
+
+def _deeper(key: Column, level: int, trees: int) -> Column:
     """The key of one more step down a tree: STEP further values of the signature in this tree's order."""
-    at = (F.col("tree") * (VALUES // TREES) + level * STEP) % VALUES
+    at = (F.col("tree") * (VALUES // trees) + level * STEP) % VALUES
     return F.xxhash64(key, F.slice("signature", at.cast("int") + 1, STEP))
 
 
-def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _regions(nodes: DataFrame, n_trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """Regions (key, node, n_shingles) of about REGION members, and (node, n_shingles, hub, hub_n) for large ones.
 
     Tree ``t`` sorts the nodes by their signature read from its own starting place.  Nodes that agree on STEP values
@@ -105,9 +113,9 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     each level, are also paired with its hub: the member that shares most prefixes with others over all trees and levels.
     What the hub and the dealt regions leave apart is searched by ``crowd_links``.
     """
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
     live = nodes.select("node", "n_shingles", "signature", trees.alias("tree"))
-    live = live.select("node", "n_shingles", "tree", _deeper(F.col("tree").cast("long"), 0).alias("key"))
+    live = live.select("node", "n_shingles", "tree", _deeper(F.col("tree").cast("long"), 0, n_trees).alias("key"))
     small, loose, shared, large = [], [], [], []
     for level in range(LEVELS):
         groups = live.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least"))
@@ -125,7 +133,7 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         else:
             live = live.join(nodes.select("node", "signature"), "node").select(
-                "node", "n_shingles", "tree", F.col("key").alias("above"), _deeper(F.col("key"), level + 1).alias("key")
+                "node", "n_shingles", "tree", F.col("key").alias("above"), _deeper(F.col("key"), level + 1, n_trees).alias("key")
             )
     regions, every = _union(small), _union(large)
     if loose:
@@ -152,7 +160,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def candidate_pairs(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, alike) with a < b: neighbours in some order whose signatures allow the asked similarity; and the large regions' (node, hub)."""
-    regions, stars = _regions(nodes)
+    regions, stars = _regions(nodes, _trees(percent))
     stars = stored(stars, "hubs")
     left = regions.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("a_n"))
     right = regions.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("b_n"))
@@ -372,7 +380,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def survivors(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, all columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+def survivors(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One document of each group of near duplicates at ``percent``, all columns."""
+    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

@@ -133,3 +133,16 @@ def test_near_copies_of_an_absent_original(spark, n, most):
     made = list(_copies(n, most, 11))
     got = minhash_forest.near_duplicates(cases.documents(spark, made)).select("doc_id", "component_id").collect()
     assert _same_groups({r[0]: r[1] for r in got}, made, 85)
+
+
+def test_survivors_at_80_percent(spark):
+    made = []
+    for i in range(40):
+        w = cases.prose(900 + i, 400).split()
+        made.append((2 * i, " ".join(w)))
+        for at in range(20, 400, 53):  # eight places: 40 of 396 shingles, similarity 0.82
+            w[at] = f"w{at}"
+        made.append((2 * i + 1, " ".join(w)))
+    kept = minhash_forest.survivors(cases.documents(spark, made), 80)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [2 * i for i in range(40)]
+    assert all((1 - (p / 100) ** minhash_forest.STEP) ** minhash_forest._trees(p) < minhash_forest.MISS for p in (80, 85))
