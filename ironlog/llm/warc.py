@@ -162,30 +162,39 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str],
 
 
 def salvage_members(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
-    """The same for gzip files; places are those of the compressed members.
+    """The same for files of gzip members, plain records or both, however they begin; places in members are those of the members.
 
-    A member that does not unpack is passed over up to the next member that does.
+    After a failed check the nearer of the next gzip member that unpacks to records and the next version line is searched for.
     """
-    at, lost, fault = 0, None, ""
+    at, lost, fault, line = 0, None, "", -1
     while at < len(data):
-        unpack = zlib.decompressobj(31)
+        packed = data.startswith(_GZIP, at)
         try:
-            plain = unpack.decompress(data[at:] if at else data) + unpack.flush()
-            if not unpack.eof:
-                raise Damage("member cut short")
+            if packed:
+                unpack = zlib.decompressobj(31)
+                plain = unpack.decompress(memoryview(data)[at:]) + unpack.flush()
+                if not unpack.eof:
+                    raise Damage("member cut short")
+                if lost is not None and not _VERSION.search(plain):
+                    raise Damage("no version line")
+                end = len(data) - len(unpack.unused_data)
+                found = [(at, end, wrong, fields, payload) for _, _, wrong, fields, payload in salvage(plain)]
+            else:
+                end, fields, payload = _record(data, at)
+                found = [(at, end, None, fields, payload)]
         except (zlib.error, Damage) as why:
             if lost is None:
                 lost, fault = at, str(why)
-            at = data.find(_GZIP, at + 1)
-            if at < 0:
-                at = len(data)
+            member = data.find(_GZIP, at + 1)
+            if line <= at:
+                version = _VERSION.search(data, at + 1)
+                line = version.start() if version else len(data)
+            at = line if member < 0 else min(member, line)
             continue
-        end = len(data) - len(unpack.unused_data)
         if lost is not None:
             yield lost, at, fault, {}, b""
             lost = None
-        for _, _, wrong, fields, payload in salvage(plain):
-            yield at, end, wrong, fields, payload
+        yield from found
         at = end
     if lost is not None:
         yield lost, at, fault, {}, b""
@@ -210,7 +219,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, pattern
                 data = content.as_py()
                 rows: list[tuple] = []
                 held = 0
-                for begin, end, fault, fields, payload in (salvage_members if data[:3] == _GZIP else salvage)(data):
+                for begin, end, fault, fields, payload in salvage_members(data):
                     if fault is not None:
                         rows.append((name.as_py(), begin, end, fault, *[None] * 7))
                     else:

@@ -256,3 +256,12 @@ def test_remainder_is_that_of_the_text_of_the_id(spark):
     df = spark.createDataFrame([(i,) for i in [0, 1, 12345, -7, None]], "doc_id long")
     assert [r[0] for r in df.select(remainder(df["doc_id"], 10)).collect()] == [cases.crc(i, 10) for i in [0, 1, 12345, -7, None]]
     assert random.Random(1).random() < 1
+
+
+def test_archives_with_damaged_first_bytes(spark, tmp_path):
+    members = [gzip.compress(record(i)) for i in range(4)]
+    (tmp_path / "a.warc.gz").write_bytes(b"\x00\x00\x00" + members[0][3:] + members[1] + members[2])
+    (tmp_path / "b.warc.gz").write_bytes(b"junk" + members[3] + record(5) + members[0])
+    got = warc.read_archives(spark, str(tmp_path))
+    assert [r[0] for r in cases.rows(got.where("fault IS NULL"), "record_id")] == [f"<urn:ironlog:page:{i}>" for i in (0, 1, 2, 3, 5)]
+    assert got.where("fault IS NOT NULL").count() == 2
