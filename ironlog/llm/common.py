@@ -46,7 +46,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` has written and that nothing reads any more: their successors are written."""
+    for df in tables:
+        _remove(df.sparkSession, df._stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
