@@ -32,7 +32,7 @@ MOST_CLASSES, MOST_WORDS = (0.02, 25.0), (0.035, 8.0)
 
 def words_of(text: Column) -> Column:
     """Words in order, separated by white space."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
 def _language(lang: Column) -> Column:
@@ -40,12 +40,14 @@ def _language(lang: Column) -> Column:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """(language, words, shares): each large language's common words in code point order and their shares of its words.
+    """(language, words, shares, longest): each large language's common words in code point order, their shares of its words, and
+    the most bytes that one of them has.
 
     Two passes over all texts, exact: counts by hash bucket, then counts of the words in buckets that are large enough
     to hold a common word.  Both are combined in map tasks, so a word that is everywhere is a row per task.
     """
-    docs = only(docs, "lang", "text").select(_language(F.col("lang")).alias("language"), F.explode(words_of(F.col("text"))).alias("word"))
+    parts = F.split("text", SPACE + "+")
+    docs = only(docs, "lang", "text").select(_language(F.col("lang")).alias("language"), F.explode(parts).alias("word")).where("word <> ''")
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
     sums = stored(docs.groupBy("language", bucket.alias("bucket")).agg(F.count("*").alias("n")), "buckets")
     languages = sums.groupBy("language").agg(F.sum("n").alias("total"))
@@ -58,7 +60,8 @@ def common_words(docs: DataFrame) -> DataFrame:
     found = found.where(F.col("n") >= COMMON_SHARE * F.col("total")).select("language", "word", (F.col("n") / F.col("total")).alias("share"))
     lists = found.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("word", "share"))).alias("l"))  # at most 500
     lists = large.join(lists, "language", "left").select("language", F.coalesce("l", F.array().cast("array<struct<word:string,share:double>>")).alias("l"))
-    return stored(lists.select("language", F.col("l.word").alias("words"), F.col("l.share").alias("shares")), "common")
+    longest = F.coalesce(F.array_max(F.transform("l.word", lambda w: F.octet_length(w))), F.lit(0))
+    return stored(lists.select("language", F.col("l.word").alias("words"), F.col("l.share").alias("shares"), longest.alias("longest")), "common")
 
 
 def _bin(p: Column, q: Column) -> Column:
@@ -100,15 +103,16 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
         F.size("parts").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         (F.col("n_chars") - F.char_length("rest")).alias("letters"), F.char_length("rest").alias("others"),
-        of(SPACE).alias("space"), of(f"[{SYMBOLS}]").alias("symbol"), of(r"\p{Nd}").alias("digit"), of(f"[{PUNCTUATION}]").alias("punctuation"),
+        (F.char_length("rest") - F.char_length(F.regexp_replace("rest", SPACE + "+", ""))).alias("space"), of(f"[{SYMBOLS}]").alias("symbol"), of(r"\p{Nd}").alias("digit"), of(f"[{PUNCTUATION}]").alias("punctuation"),
         F.when(F.size("parts") >= 3, F.transform(F.sequence(F.lit(0), F.size("parts") - 3), window)).alias("windows"),
-        F.array_intersect("words", "parts").alias("present"),
+        F.filter("parts", lambda w: F.octet_length(w) <= F.col("longest")).alias("short"),
     )
+    d = d.withColumn("present", F.array_intersect("words", "short"))
     # equal windows side by side, but only where there are any
     ordered = F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
     d = d.withColumns({
         "ordered": F.when(F.size(F.array_distinct("windows")) < F.size("windows"), ordered),
-        "counts": F.transform("present", lambda w: F.struct(w.alias("word"), (F.size("parts") - F.size(F.array_remove("parts", w))).alias("n"))),
+        "counts": F.transform("present", lambda w: F.struct(w.alias("word"), (F.size("short") - F.size(F.array_remove("short", w))).alias("n"))),
     })
     same = lambda x, i: F.coalesce(F.get("ordered", i)["w"] == x["w"], F.lit(False))
     twice = F.filter("ordered", lambda x, i: same(x, i - 1) | same(x, i + 1))

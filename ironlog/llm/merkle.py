@@ -11,6 +11,8 @@ from ironlog.llm.common import discard, only, stored
 
 #: Consecutive nodes that hang on one parent.
 FAN = 3
+#: Levels that grow from one shuffle.
+CLIMB = 6
 #: The tree over the roots of all sources.
 TOP = -1
 
@@ -66,24 +68,40 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return out
 
 
-def _grown(nodes: DataFrame, most: int) -> list[DataFrame]:
-    """The runs of all levels over (tree, place, total, hash) leaves, lowest first: (tree, level, place, total, hash, members).
+def _level(below: Column) -> Column:
+    """Digests of the runs of FAN digests in order."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(below) - 1) / FAN).cast("int"))
+    return F.transform(runs, lambda j: F.unhex(F.sha2(F.array_join(F.transform(F.slice(below, FAN * j + 1, F.lit(FAN)), _hex), ""), 256)))
 
-    A row is a parent with its members in order; ``level`` is its own, ``total`` the number of nodes there.
-    A tree ends where one node remains; ``most`` is the largest tree's number of leaves.
+
+def _parents(k: int, level: int) -> Column:
+    """The nodes of a block's k-th level as structs."""
+    place, total = (F.col("block") * FAN ** (CLIMB - k)).cast("long"), F.ceil(F.col("total") / FAN**k).cast("long")
+    return F.transform(f"level{k}", lambda digests, j: F.struct(
+        F.lit(level + k).alias("level"), (place + j).alias("place"), total.alias("total"), digests.alias("hash"),
+        F.slice(f"level{k - 1}", FAN * j + 1, F.lit(FAN)).alias("members"),
+    ))
+
+
+def _grown(nodes: DataFrame, most: int) -> tuple[list[DataFrame], int]:
+    """The runs of all levels over (tree, place, total, hash) leaves, and the number of levels.
+
+    A row is a parent, (tree, level, place, total, hash), with the digests of its members in order; ``level`` is its own,
+    ``total`` the number of nodes there.  A tree ends where one node remains; ``most`` is the largest tree's number of leaves.
+    A shuffle gathers FAN ** CLIMB consecutive nodes, from which CLIMB levels follow inside the row.
     """
-    levels, level = [], 0
+    tables, level, height = [], 0, 0
     while most > 1:
-        level, most = level + 1, ceil(most / FAN)
-        runs = nodes.where("total > 1").groupBy("tree", F.floor(F.col("place") / FAN).alias("parent"), "total")
-        runs = runs.agg(F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("members"))  # at most FAN
-        runs = runs.select(
-            "tree", F.lit(level).alias("level"), F.col("parent").alias("place"), F.ceil(F.col("total") / FAN).alias("total"),
-            F.unhex(F.sha2(F.array_join(F.transform("members.hash", _hex), ""), 256)).alias("hash"), "members",
-        )
-        levels.append(stored(runs, "runs"))
-        nodes = levels[-1].select("tree", "place", "total", "hash")
-    return levels
+        rows = nodes.where("total > 1").groupBy("tree", F.floor(F.col("place") / FAN**CLIMB).alias("block"), "total")
+        rows = rows.agg(F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("m")).withColumn("level0", F.col("m.hash"))
+        for k in range(1, CLIMB + 1):
+            more = F.ceil(F.col("total") / FAN ** (k - 1)) > 1
+            rows = rows.withColumn(f"level{k}", F.when(more, _level(F.col(f"level{k - 1}"))).otherwise(F.array().cast("array<binary>")))
+            most, height = (ceil(most / FAN), height + 1) if most > 1 else (most, height)
+        tables.append(stored(rows.select("tree", F.inline(F.concat(*(_parents(k, level) for k in range(1, CLIMB + 1))))), "runs"))
+        level += CLIMB
+        nodes = tables[-1].where(F.col("level") == level).select("tree", "place", "total", "hash")
+    return tables, height
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -99,15 +117,12 @@ def _siblings(runs: DataFrame) -> DataFrame:
     left and right hold the digests of the siblings on either side; up_ names the parent.  The root of a source's
     tree is known as the leaf of the top tree whose place is the number of the source.
     """
-    side = lambda x, which: F.array_join(F.transform(F.filter("members", which), lambda m: F.hex(m["hash"])), "")
-    member = F.explode("members").alias("m")
-    rows = runs.select("tree", F.col("level").alias("up_level"), F.col("place").alias("up_place"), "total", "members", member)
-    left = side("m", lambda x: x["place"] < F.col("m.place"))
-    right = side("m", lambda x: x["place"] > F.col("m.place"))
+    side = lambda which: F.unhex(F.array_join(F.transform(F.filter("members", which), lambda m: F.hex(m)), ""))
+    rows = runs.select("tree", F.col("level").alias("up_level"), F.col("place").alias("up_place"), "total", "members", F.posexplode("members").alias("i", "own"))
     ends = (F.col("total") == 1) & (F.col("tree") != TOP)
     return rows.select(
-        "tree", (F.col("up_level") - 1).alias("level"), F.col("m.place").alias("place"),
-        F.unhex(left).alias("left"), F.unhex(right).alias("right"),
+        "tree", (F.col("up_level") - 1).alias("level"), (FAN * F.col("up_place") + F.col("i")).alias("place"),
+        side(lambda _, j: j < F.col("i")).alias("left"), side(lambda _, j: j > F.col("i")).alias("right"),
         F.when(ends, F.lit(TOP)).otherwise(F.col("tree")).cast("long").alias("up_tree"),
         F.when(ends, F.lit(0)).otherwise(F.col("up_level")).alias("up_level"),
         F.when(ends, F.col("tree")).otherwise(F.col("up_place")).alias("up_place"),
@@ -148,8 +163,8 @@ def manifest(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFra
     the leaf.  Subroots in the order of their sources (null first, then by UTF-8 bytes) become the root in the same way.
     path lists, from the leaf to the root, the digests left and right of the row's ancestor in its run.
 
-    Equal rows are leaves of their own; an empty table gives an empty result; further columns are ignored.  Levels take
-    two shuffles of digests in all, counted in leaves, whatever a source holds; nothing is gathered but one run of FAN.
+    Equal rows are leaves of their own; an empty table gives an empty result; further columns are ignored.  Nothing is
+    gathered but FAN ** CLIMB digests, whatever a source holds.
     """
     names = ["doc_id", "source", "lang", "n_chars", "text"]
     docs = only(docs, *names)
@@ -162,24 +177,24 @@ def manifest(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFra
         shape = ("leaf", "subroot", "root")
         return leaves.select("doc_id", *(F.hex("hash").alias(c) for c in shape), F.array().cast(_PATH).alias("path"), *extra)
 
-    levels = _grown(leaves, most)
+    runs, height = _grown(leaves, most)
     lone = leaves.where("total = 1").select("tree", "hash")
-    subroots = stored(_union([lone, *(r.where("total = 1").select("tree", "hash") for r in levels)]), "subroots")
+    subroots = stored(_union([lone, *(r.where("total = 1").select("tree", "hash") for r in runs)]), "subroots")
     tops = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(trees + 1).cast("long").alias("total"), "hash")
-    top_levels = _grown(tops, trees + 1)
-    last = top_levels[-1] if top_levels else tops
+    top_runs, top_height = _grown(tops, trees + 1)
+    last = _union([r.where("total = 1").select("hash") for r in top_runs]) if top_runs else tops
     root = last.select(_hex(F.col("hash"))).first()[0]
 
-    ends = leaves.sparkSession.createDataFrame([(TOP, len(top_levels), 0)], "tree long, level int, place long")
+    ends = leaves.sparkSession.createDataFrame([(TOP, top_height, 0)], "tree long, level int, place long")
     nothing = {"left": "binary", "right": "binary", "up_tree": "long", "up_level": "int", "up_place": "long"}
     ends = ends.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()))
-    inner = _union([ends, *(_siblings(r) for r in [*levels[1:], *top_levels])])
-    paths = _jumped(inner, len(levels) + len(top_levels))
+    inner = _union([ends, *(_siblings(r.where("level > 1")) for r in runs), *(_siblings(r) for r in top_runs)])
+    paths = _jumped(inner, height + top_height)
 
     # A leaf's first segment leads to its parent; one more jump appends what the parent has gathered.
     held = leaves.select("tree", "place", "total", "doc_id", "hash", *extra)
-    if levels:
-        held = held.join(_siblings(levels[0]).drop("level"), ["tree", "place"], "left")
+    if runs:
+        held = held.join(_siblings(runs[0].where("level = 1")).drop("level"), ["tree", "place"], "left")
         own = F.when(F.col("up_level").isNotNull(), F.array(F.struct("left", "right")).cast(_PATH)).otherwise(F.array().cast(_PATH))
     else:
         held = held.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()))
