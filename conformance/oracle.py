@@ -493,6 +493,7 @@ FROM t""",
         "write_log": _with(RM, _annotated("rm")),
         "ingest_grids": _clean("log", LOG),
         "incremental_ingest": _clean("log", LOG),
+        "corrected_sheets": _clean("log", LOG),
         # normalisation
         "week_columns": _with(
             GRID, "SELECT DISTINCT athlete_id, block, base_col, week_start FROM grid"

@@ -26,6 +26,7 @@ from ironlog.operators import (
     reconcile,
     trend,
 )
+from ironlog.operators.normalize import OFFSETS, WEEK_WIDTH
 from ironlog.operators.onerm import main_lifts, with_1rm, with_1rm_strict
 from ironlog.plans.ingest import ingest_grids
 from ironlog.sources import readers, writers
@@ -155,6 +156,21 @@ def incremental(spark: SparkSession, d: str) -> DataFrame:
     return comparable(read_ingested(spark, out).select(*columns))
 
 
+def corrected_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """All grids, the early ones with wrong loads; then the early ones again, corrected."""
+    base = views.scratch(spark, "corrected")
+    drop, out = f"{base}/drop", f"{base}/out"
+    cells = views.cells(spark, d)
+    early = F.col("block") < "Block 1996"
+    load = F.pmod("col_idx", F.lit(WEEK_WIDTH)) == OFFSETS["load"]
+    wrong = F.when(early & load, "1").otherwise(F.col("value"))
+    for part in (cells.withColumn("value", wrong), cells.filter(early)):
+        part.write.mode("append").parquet(drop)
+        incremental_ingest(spark, drop, out, f"{base}/state").awaitTermination()
+    columns = views.training_log(spark, d).columns
+    return comparable(read_ingested(spark, out).select(*columns))
+
+
 def reconcile_raw(spark: SparkSession, d: str) -> DataFrame:
     """The log against its grids, with names that are not there and parts of names."""
     log = views.training_log(spark, d)
@@ -344,6 +360,7 @@ def registry() -> dict[str, Query]:
         "write_log": write_log,
         "ingest_grids": ingest,
         "incremental_ingest": incremental,
+        "corrected_sheets": corrected_sheets,
         # normalisation
         "week_columns": _cells(normalize.week_columns),
         "parse_date_multi": parse_date_multi,

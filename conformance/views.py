@@ -273,9 +273,10 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
         ).alias("line"),
     ).select(*key, "line.base", F.lit(0).alias("weekday"), F.lit(0).alias("kind"), "line.value")
     whole = top.unionByName(lines).unionByName(entries)
-    order = [*key, "base", "weekday", "kind", "value"]
-    dealt = whole.repartition(*key).sortWithinPartitions(*order)
-    dealt.select(*key, "value").write.partitionBy(*key).text(path)
+    # one row, and so one file, per sheet; sheets are small
+    lines = F.array_sort(F.collect_list(F.struct("base", "weekday", "kind", "value")))
+    sheets = whole.groupBy(*key).agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
+    sheets.write.partitionBy(*key).text(path)
 
 
 # Rows of one training day that are numbered by one task.

@@ -60,20 +60,51 @@ _FIELD = (
 )
 
 
+def _with_file_offsets(sheets: DataFrame) -> DataFrame:
+    """``sheets`` (a row per file) with the rows of the sheet's earlier files.
+
+    Counts and running sums see one narrow row per file.  Files of a sheet stand in the
+    order of the first number in their names; an order that names do not define is an error.
+    """
+    sheet = W.partitionBy("athlete_id", "block")
+    ended = F.filter("_fields", lambda f: f.rlike(r"[\r\n]\z"))
+    rest = F.element_at("_fields", -1)
+    # a last line without a line break is a line as well
+    open_end = F.when(F.size("_fields") > 0, ~rest.rlike(r"[\r\n]\z") & (rest != "")).otherwise(False)
+    number = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"\d+", 0).try_cast("decimal(38,0)")
+    files = sheets.select(
+        "_file", "athlete_id", "block", number.alias("_number"),
+        (F.size(ended) + open_end.cast("int")).cast("long").alias("_lines"),
+    )
+    files = files.withColumns({
+        "_files": F.count("*").over(sheet),
+        "_alike": F.count("*").over(W.partitionBy("athlete_id", "block", "_number")),
+        "_before": F.sum("_lines").over(sheet.orderBy("_number").rowsBetween(W.unboundedPreceding, -1)),
+    })
+    unclear = (F.col("_files") > 1) & (F.col("_number").isNull() | (F.col("_alike") > 1))
+    message = F.concat(F.lit("no order of files is defined for sheet "), F.col("block"), F.lit(": "), F.col("_file"))
+    offset = F.when(unclear, F.raise_error(message).cast("long")).otherwise(F.coalesce("_before", F.lit(0)))
+    return sheets.join(files.select("_file", offset.alias("_offset")), "_file")
+
+
 def read_cells(
     spark: SparkSession,
     path: str | list[str],
     folder: str | None = None,
     athlete: int | str = 0,
 ) -> DataFrame:
-    """Header-less CSV sheets, one file per training block, as grid cells.
+    """Header-less CSV sheets, one per training block, as grid cells.
 
     Nothing is lost: a sheet may have any number of columns, and blank lines count as
     rows, so every cell keeps its place.  Empty cells yield no row.  The block is the
     file name or, with ``folder``, the value in ``<folder>=<block>/``; ``athlete`` is
     the athlete's number or the name of the folder level ``<athlete>=<number>/``.
 
-    A sheet is one record, cut into fields by one expression; sheets are read in
+    A sheet may lie in several files, cut at line breaks: rows are numbered through in
+    the order of the first number in the file names (``part-00007-...``, ``grid 7.csv``).
+    Two files of one sheet with the same number, or without one, are an error when read.
+
+    A file is one record, cut into fields by one expression; files are read in
     parallel.  Quoted fields may hold commas, quotes and line breaks.
     """
     text = F.regexp_replace("value", "^\ufeff", "")
@@ -89,6 +120,7 @@ def read_cells(
             F.slice(fields, 1, F.size(fields) - 1).alias("_fields"),
         )
     )
+    sheets = _with_file_offsets(sheets)
     before = (
         W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     )
@@ -99,12 +131,12 @@ def read_cells(
     passed = F.coalesce(F.sum("_commas").over(before), F.lit(0)) + F.col("_commas")
     cut = (
         sheets.select(
-            "_file", "athlete_id", "block", F.posexplode("_fields").alias("_at", "_field")
+            "_file", "athlete_id", "block", "_offset", F.posexplode("_fields").alias("_at", "_field")
         )
         .withColumns({"_commas": commas, "_value": value, "_ends": ends})
         .withColumns(
             {
-                "row_idx": F.coalesce(F.count_if("_ends").over(before), F.lit(0)),
+                "row_idx": F.col("_offset") + F.coalesce(F.count_if("_ends").over(before), F.lit(0)),
                 "_passed": passed,
             }
         )

@@ -1,10 +1,12 @@
+import os
+
 import pytest
 
 from ironlog.operators.quality import clean_dataset
 from ironlog.operators.normalize import normalize
 from ironlog.plans.ingest import ingest_grids
 from ironlog.sources import readers, schemas, writers
-from ironlog.streaming.incremental import incremental_ingest, read_ingested
+from ironlog.streaming.incremental import RECORD, incremental_ingest, read_ingested
 from tests.helpers import D, entry, log_rows, rows
 
 
@@ -114,3 +116,68 @@ def test_sheets_keep_every_cell_and_every_line(spark, tmp_path):
     ]
     assert {r["athlete_id"] for r in got} == {3}
     assert normalize(readers.read_cells(spark, str(tmp_path))).count() == 0
+
+
+def test_a_sheet_in_several_files(spark, tmp_path):
+    lines = [f'"x{i}, {i}\n",,{i}\n' if i % 7 else "\n" for i in range(60)]
+    lines[-1] = lines[-1].rstrip("\n") if lines[-1] != "\n" else "end"
+    want = None
+    for files in (1, 3, 50):
+        folder = tmp_path / str(files) / "Block=B 1"
+        folder.mkdir(parents=True)
+        cuts = [len(lines) * k // files for k in range(files + 1)]
+        for k in range(files):
+            # 10 comes after 9, and what follows the number does not count
+            (folder / f"grid {k} {99 - k}.csv").write_text("".join(lines[cuts[k] : cuts[k + 1]]))
+        cells = readers.read_cells(spark, str(tmp_path / str(files)), folder="Block")
+        got = sorted(tuple(r) for r in cells.collect())
+        assert len({(r[1], r[2], r[3]) for r in got}) == len(got)
+        want = want or got
+        assert got == want and ("B 1", 8, 2) in {r[1:4] for r in got}
+
+
+@pytest.mark.parametrize("names", [("a.csv", "b.csv"), ("p1.csv", "q1.csv"), ("1.csv", "b.csv")])
+def test_files_without_an_order_are_an_error(spark, tmp_path, names):
+    for name in names:
+        (tmp_path / "Block=B").mkdir(exist_ok=True)
+        (tmp_path / "Block=B" / name).write_text("x\n")
+    with pytest.raises(Exception, match="no order of files"):
+        readers.read_cells(spark, str(tmp_path), folder="Block").collect()
+
+
+def test_equal_names_in_different_folders_are_an_error(spark, tmp_path):
+    for where in ("a", "b"):
+        (tmp_path / where).mkdir()
+        (tmp_path / where / "Block 1.csv").write_text("x\n")
+    with pytest.raises(Exception, match="no order of files"):
+        readers.read_cells(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()
+
+
+def test_a_sheet_delivered_again_replaces_the_first(spark, tmp_path):
+    drop, out, state = (str(tmp_path / n) for n in ("drop", "out", "state"))
+
+    def sync(*sheets):
+        for cells in sheets:
+            cells.write.mode("append").parquet(drop)
+        incremental_ingest(spark, drop, out, state).awaitTermination()
+        return sorted((r.Block, r.Exercise) for r in read_ingested(spark, out).collect())
+
+    first = sync(_cells(spark, "A", "Squat", "Bench"), _cells(spark, "B", "Squat"))
+    assert first == [("A", "Bench"), ("A", "Squat"), ("B", "Squat")]
+    assert sync(_cells(spark, "A", "Deadlift")) == [("A", "Deadlift"), ("B", "Squat")]
+    # corrected to a sheet without a valid row
+    assert sync(_cells(spark, "B", "Exercise")) == [("A", "Deadlift")]
+    assert read_ingested(spark, out, validated=False).count() == 2
+
+
+def test_a_batch_without_its_record_is_not_seen(spark, tmp_path):
+    drop, out, state = (str(tmp_path / n) for n in ("drop", "out", "state"))
+    for name in ("A", "B"):
+        _cells(spark, name, "Squat").write.mode("append").parquet(drop)
+        incremental_ingest(spark, drop, out, state).awaitTermination()
+    assert read_ingested(spark, out).count() == 2
+    # as if the last batch had stopped before its record
+    kept = str(tmp_path / "kept")
+    os.rename(f"{out}/{RECORD}batch=00000001", kept)
+    for validated in (True, False):
+        assert [r.Block for r in read_ingested(spark, out, validated).collect()] == ["A"]
