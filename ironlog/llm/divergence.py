@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ironlog.llm.common import SPACE, only, stored
@@ -21,6 +21,9 @@ COMMON_SHARE, LONGEST = 0.002, 64
 #: Words are counted by hash first; only words in buckets that hold COMMON_SHARE are counted one by one.
 BUCKETS = 1 << 12
 
+#: Parts in which the share of a character class is counted.
+STEPS = 1000
+
 #: Guards: texts with fewer characters or words are too short to have a distribution.
 LEAST_CHARS, LEAST_WORDS = 200, 50
 #: Base rule: this percentage of words in repeated three-word windows.
@@ -132,23 +135,32 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def class_references(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """(language, reference): shares of the character classes over the documents that pass the base rules, for each
-    language of ``common``, and under a null language for all of them together."""
-    sums = [F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(CLASSES)]
-    per = rows.where("NOT base_failed").groupBy("language").agg(*sums)
-    own = per.join(F.broadcast(common.select("language")), "language", "left_semi")
-    every = per.agg(F.lit(None).cast("string").alias("language"), *(F.sum(c).alias(c) for c in CLASSES))
-    total = reduce(lambda a, b: a + b, (F.col(c) for c in CLASSES))
-    shares = F.when(total > 0, F.array(*(F.col(c) / total for c in CLASSES)))
-    return own.unionByName(every).select("language", shares.alias("reference"))
+    """(language, reference): shares of the character classes for each language of ``common``, and under a null language
+    for all of them together.
+
+    Medians over the documents that pass the base rules, in thousandths, so that junk moves them little while it is not
+    half of a language.  They follow from counts per thousandth, which are combined in map tasks; at most 1001 rows a class.
+    """
+    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
+    parts = F.transform("classes", lambda n: F.floor(STEPS * n / chars))
+    counts = rows.where("NOT base_failed").select("language", F.posexplode(parts).alias("i", "part")).groupBy("language", "i", "part").agg(F.count("*").alias("n"))
+    counts = stored(counts, "class_counts")
+    own = counts.join(F.broadcast(common.select("language")), "language", "left_semi")
+    every = counts.groupBy("i", "part").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("language"), "i", "part", "n")
+    of = Window.partitionBy("language", "i")
+    below = F.sum("n").over(of.orderBy("part"))
+    half = own.unionByName(every).withColumns({"below": below, "all": F.sum("n").over(of)}).where("2 * below >= all")
+    middle = half.groupBy("language", "i").agg(F.min("part").alias("part"))
+    lists = middle.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("l"), F.sum("part").alias("total"))
+    return lists.where("total > 0").select("language", F.transform("l", lambda x: x["part"] / F.col("total")).alias("reference"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the
     two divergences, classes_apart and words_apart.
 
-    References are learned from all of ``docs``: per language the shares of character classes over the documents that
-    pass the base rules, and of the common words among all words.  A document fails where its Jensen-Shannon divergence
+    References are learned from all of ``docs``: per language the median shares of character classes over the documents
+    that pass the base rules, and the shares of the common words among all words.  A document fails where its Jensen-Shannon divergence
     from its language's reference exceeds MOST_CLASSES (texts of LEAST_CHARS characters or more) or MOST_WORDS
     (texts of LEAST_WORDS words or more).  A language below LANGUAGE_SHARE of the words has no word
     reference (words_apart is null and judges nothing) and is held against the classes of all languages together.
@@ -163,7 +175,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     references = stored(class_references(rows, common), "references")
     own = F.broadcast(references.where("language IS NOT NULL"))  # at most 200 rows
     every = F.broadcast(references.where("language IS NULL").select(F.col("reference").alias("any")))  # one row
-    rows = rows.join(own, "language", "left").join(every).withColumn("reference", F.coalesce("reference", "any"))
+    rows = rows.join(own, "language", "left").join(every, how="left").withColumn("reference", F.coalesce("reference", "any"))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
     apart = reduce(lambda a, b: a + b, (_bin(F.col("classes")[i] / chars, F.col("reference")[i]) for i in range(len(CLASSES))))
     rows = rows.withColumn("classes_apart", F.when(chars > 0, F.round(apart, 9)))
@@ -211,10 +223,14 @@ WITH d AS (
   GROUP BY 1, 2 HAVING sum(n) >= {COMMON_SHARE} * any_value(total)
 ), cells AS (
   SELECT language, r, base_failed, i, c[i] AS n, n_chars FROM f, (SELECT unnest(range(1, 8)) AS i) k
+), middle AS (
+  SELECT language, i, quantile_disc(floor({STEPS} * n / n_chars), 0.5) AS m FROM cells JOIN totals USING (language) WHERE NOT base_failed GROUP BY 1, 2
+), middles AS (
+  SELECT i, quantile_disc(floor({STEPS} * n / n_chars), 0.5) AS m FROM cells WHERE NOT base_failed GROUP BY 1
 ), own AS (
-  SELECT language, i, sum(n) / sum(sum(n)) OVER (PARTITION BY language) AS q FROM cells JOIN totals USING (language) WHERE NOT base_failed GROUP BY 1, 2
+  SELECT language, i, m / sum(m) OVER (PARTITION BY language) AS q FROM middle
 ), every AS (
-  SELECT i, sum(n) / sum(sum(n)) OVER () AS q FROM cells WHERE NOT base_failed GROUP BY 1
+  SELECT i, m / sum(m) OVER () AS q FROM middles
 ), bins AS (
   SELECT r, 'classes' AS kind, n / n_chars AS p, coalesce(own.q, every.q) AS q FROM cells LEFT JOIN own USING (language, i) LEFT JOIN every USING (i) WHERE n_chars > 0
   UNION ALL
