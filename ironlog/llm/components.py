@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ironlog.llm.common import stored
+from ironlog.llm.common import discard, stored
 
 
 def _contract(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,23 +23,26 @@ def _contract(edges: DataFrame, large: bool) -> DataFrame:
         out = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-    return out.where("a > b").distinct()
+    out = out.where("a > b")
+    return out if large else out.distinct()  # what the first step repeats goes with the second
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node of each node's component, for every node that has an edge.
 
     Large-star and small-star steps in turn, each written to the shared folder, until nothing changes: about
-    log2 of the longest chain many rounds.  Rows shuffled per round: at most twice the edges; stars of any size
+    log2 of the longest chain many rounds; none beyond the first if the edges are stars around their least nodes already.  Rows shuffled per round: at most twice the edges; stars of any size
     are joined by key, never gathered.  Null ends and loops give no edge.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     edges = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = stored(edges.select(high.alias("a"), low.alias("b")).distinct(), "edges")
-    state = None
+    sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = sums(edges)
     while True:
-        edges = stored(_contract(_contract(edges, True), False), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, edges = edges, stored(_contract(_contract(edges, True), False), "stars")
+        discard(before)
+        now = sums(edges)
         if now == state:
             break
         state = now

@@ -95,10 +95,14 @@ def _trees(percent: int) -> int:
     return TREES if (1 - agree) ** TREES < MISS else VALUES // STEP
 
 
-def _deeper(key: Column, level: int, trees: int) -> Column:
-    """The key of one more step down a tree: STEP further values of the signature in this tree's order."""
-    at = (F.col("tree") * (VALUES // trees) + level * STEP) % VALUES
-    return F.xxhash64(key, F.slice("signature", at.cast("int") + 1, STEP))
+def _keys(nodes: DataFrame, trees: int) -> DataFrame:
+    """(node, n_shingles, key0, key1, ...): for every tree the prefixes of the signature read in this tree's order, each STEP values longer."""
+    rows = nodes.select("node", "n_shingles", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    for level in range(LEVELS):
+        at = (F.col("tree") * (VALUES // trees) + level * STEP) % VALUES
+        above = F.col(f"key{level - 1}") if level else F.col("tree").cast("long")
+        rows = rows.withColumn(f"key{level}", F.xxhash64(above, F.slice("signature", at.cast("int") + 1, STEP)))
+    return rows.select("node", "n_shingles", *(f"key{level}" for level in range(LEVELS)))
 
 
 def _regions(nodes: DataFrame, n_trees: int = TREES) -> tuple[DataFrame, DataFrame]:
@@ -109,45 +113,56 @@ def _regions(nodes: DataFrame, n_trees: int = TREES) -> tuple[DataFrame, DataFra
     alone at the deeper level, or a region still large at the last level, stays with the last common prefix and is dealt
     to a region by a hash.
 
-    Copies of one text may each be close to that text only and not to each other.  So all members of a large region, at
-    each level, are also paired with its hub: the member that shares most prefixes with others over all trees and levels.
-    What the hub and the dealt regions leave apart is searched by ``crowd_links``.
+    Copies of one text may each be close to that text only and not to each other.  So each node is also paired with the
+    hub of the deepest large region that it is in, in every tree, and a region's hub with the hub of the region around it.
+    The hub is the member that shares most prefixes with others over all trees and levels.  What the hubs and the dealt
+    regions leave apart is searched by ``crowd_links``.
+
+    Keys of all levels come from the signature at once, so no signature is fetched again for each tree.
     """
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
-    live = nodes.select("node", "n_shingles", "signature", trees.alias("tree"))
-    live = live.select("node", "n_shingles", "tree", _deeper(F.col("tree").cast("long"), 0, n_trees).alias("key"))
-    small, loose, shared, large = [], [], [], []
-    for level in range(LEVELS):
-        groups = live.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least"))
-        if level:
-            alone = groups.where("members = 1").select(F.col("least").alias("node"), "key")
-            loose.append(live.join(alone, ["key", "node"], "left_semi").select(F.col("above").alias("key"), "node", "n_shingles"))
-        live = stored(live.join(groups.where("members > 1").select("key", "members"), "key"), "region")
-        shared.append(live.select("node", "members"))
-        small.append(live.where(F.col("members") <= REGION).select("key", "node", "n_shingles"))
-        live = live.where(F.col("members") > REGION).drop("members")
-        large.append(live.select("key", "node", "n_shingles"))
+    live = _keys(nodes, n_trees)
+    names = [f"key{level}" for level in range(LEVELS)]
+    small, loose, parts = [], [], []
+    record = lambda last: F.struct(F.lit(last).alias("last"), F.array(*names).alias("keys"))
+    none = F.lit(None).cast("struct<last:int,keys:array<bigint>>")
+    for level, key in enumerate(names):
+        groups = live.groupBy(key).agg(F.count("*").alias("members"))
+        if not level:
+            groups = groups.where("members > 1")
+        live = stored(live.join(groups, key), "region")
+        parts.append(live.where("members > 1").select("node", "n_shingles", "members", none.alias("record")))
+        small.append(live.where((F.col("members") > 1) & (F.col("members") <= REGION)).select(F.col(key).alias("key"), "node", "n_shingles"))
+        if level:  # these were in a large region one level above
+            loose.append(live.where("members = 1").select(F.col(names[level - 1]).alias("key"), "node", "n_shingles"))
+            out = live.where(F.col("members") <= REGION)
+            parts.append(out.select("node", "n_shingles", F.lit(0).cast("long").alias("members"), record(level - 1).alias("record")))
+        live = live.where(F.col("members") > REGION)
         if level + 1 == LEVELS:
-            loose.append(live.select("key", "node", "n_shingles"))
+            loose.append(live.select(F.col(key).alias("key"), "node", "n_shingles"))
+            parts.append(live.select("node", "n_shingles", F.lit(0).cast("long").alias("members"), record(level).alias("record")))
         elif live.isEmpty():
             break
-        else:
-            live = live.join(nodes.select("node", "signature"), "node").select(
-                "node", "n_shingles", "tree", F.col("key").alias("above"), _deeper(F.col("key"), level + 1, n_trees).alias("key")
-            )
-    regions, every = _union(small), _union(large)
+        live = live.drop("members")
+    regions = _union(small)
     if loose:
         rest = stored(_union(loose), "loose")
         rest = rest.join(rest.groupBy("key").agg(F.count("*").alias("members")), "key")
         lane = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / REGION))
         regions = regions.unionByName(rest.select(F.xxhash64("key", lane).alias("key"), "node", "n_shingles"))
-    degree = _union(shared).groupBy("node").agg(F.sum("members").alias("degree"))
-    hubs = every.join(degree, "node").groupBy("key").agg(
-        F.max_by(F.struct("node", "n_shingles"), F.struct("degree", -F.col("node"))).alias("hub")
-    )
-    stars = every.join(hubs, "key").where("node <> hub.node").select(
-        "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n")
-    )
+
+    # one row per node and tree with the node's degree; a region's hub is the greatest of its members, whatever their depth
+    degrees = _union(parts).groupBy("node", "n_shingles").agg(F.sum("members").alias("degree"), F.collect_list("record").alias("records"))
+    held = stored(degrees.where(F.size("records") > 0).select("node", "n_shingles", "degree", F.inline("records")), "members")
+    best = F.max_by(F.struct("node", "n_shingles"), F.struct("degree", -F.col("node"))).alias("hub")
+    hubs = [
+        held.where(F.col("last") >= level).groupBy(F.col("keys")[level].alias("key")).agg(best, F.first(F.col("keys")[max(0, level - 1)]).alias("above"))
+        for level in range(LEVELS)
+    ]
+    hubs = stored(_union([h.withColumn("level", F.lit(level)) for level, h in enumerate(hubs)]), "hubs")
+    own = held.select("node", "n_shingles", F.col("keys")[F.col("last")].alias("key"), F.col("last").alias("level"))
+    inner = hubs.where("level > 0").select("hub.node", "hub.n_shingles", F.col("above").alias("key"), (F.col("level") - 1).alias("level"))
+    stars = own.unionByName(inner).join(hubs.select("key", "level", "hub"), ["key", "level"]).where("node <> hub.node")
+    stars = stars.select("node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
     return regions, stars.distinct()
 
 
@@ -266,8 +281,8 @@ def _open(members: DataFrame) -> DataFrame:
     return members.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("crowd")
 
 
-def crowd_links(stars: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
-    """Links that join the components ``known`` as all similar pairs inside large regions would; None if there are none to look for.
+def crowd_links(stars: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The components ``known`` joined as all similar pairs inside large regions would join them.
 
     Large regions that share members or hubs are one crowd.  Any set R may be its reference; here it is what most of a
     sample of its members hold, which restores a common original that is not in the table.  With D(a) the shingles that
@@ -280,7 +295,7 @@ def crowd_links(stars: DataFrame, known: DataFrame, docs: DataFrame, percent: in
     """
     across = _rooted(_rooted(stars, known, "node", "x"), known, "hub", "y").where("x <> y")
     if across.isEmpty():
-        return None
+        return known
     crowds = stored(components(stars, "node", "hub").select("node", F.col("component").alias("crowd")), "crowds")
     members = _rooted(crowds, known, "node", "root")
     members = stored(members.join(_open(members), "crowd", "left_semi").select("node", "crowd"), "members")
@@ -311,7 +326,7 @@ def crowd_links(stars: DataFrame, known: DataFrame, docs: DataFrame, percent: in
     live = rooted.join(_open(rooted.drop("apart")), "crowd", "left_semi").join(centres, "crowd").withColumn("need", need).where("need <= n_apart")
     live = stored(live.select("node", "crowd", "part", "root", "weight", "n_apart", "need", "apart"), "live")
     if live.isEmpty():
-        return links
+        return now
     fields = f"node {kind}, crowd {kind}, part long, root {kind}, weight long, n_apart long, need long"
     tokens = stored(live.select("node", "crowd", "part", "root", "weight", "n_apart", "need", "apart").mapInArrow(_tokens, f"{fields}, token long"), "tokens")
     counts = tokens.groupBy("crowd", "token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -332,7 +347,10 @@ def crowd_links(stars: DataFrame, known: DataFrame, docs: DataFrame, percent: in
     of = lambda x: live.select(*(F.col(c).alias(f"{x}_{c}") for c in ("node", "part", "apart")))
     met = met.join(of("a"), ["a_node", "a_part"]).join(of("b"), ["b_node", "b_part"])
     met = met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "wanted", "a_apart", "b_apart")
-    return links.unionByName(stored(met.mapInArrow(lambda it: _share(it, percent), f"a {kind}, b {kind}"), "links"))
+    found = stored(met.mapInArrow(lambda it: _share(it, percent), f"a {kind}, b {kind}"), "links")
+    if found.isEmpty():
+        return now
+    return stored(components(found.unionByName(now.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "known")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -366,11 +384,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = rows.where("doc_id IS NOT NULL").join(nodes.select(*marks, "node"), marks).where("doc_id <> node")
     repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = same.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = first.unionByName(second).unionByName(twice)
-    found = stored(components(links, "a", "b"), "found")
-    if (more := crowd_links(stars, found, docs, percent)) is not None:
-        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = stored(components(known.unionByName(more), "a", "b"), "found")
+    later = second.unionByName(twice)
+    if later.isEmpty():
+        found = known
+    else:
+        found = stored(components(later.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "found")
+    found = crowd_links(stars, found, docs, percent)
 
     of = nodes.join(found, "node", "left").select(*marks, F.coalesce("component", "node").alias("root"))
     out = rows.join(stored(of, "roots"), marks, "left")
