@@ -3,22 +3,42 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ironlog.functions.patterns import PIECE, Needs, needed
 from ironlog.functions.stats import top_rows
 from ironlog.sources.schemas import MEET_COLUMNS, MEET_WEIGHTS
 
 LBS_PER_KG = 2.20462
 
-# Regular expressions tested in one projection.
+# Queries tested in one projection.
 _PATTERNS = 50
 # Parts that queries matching every row are dealt to.
 _SALTS = 64
 
 
+def _words(query: str) -> list[str]:
+    """Words of a query that count."""
+    return [w for w in query.lower().split() if len(w) > 2]
+
+
+def _word_patterns(query: str) -> list[str]:
+    """The same of an expression; none if its words are not expressions by themselves."""
+    try:
+        return [w for w in _words(query) if re.compile(w)]
+    except re.error:
+        return []
+
+
+def _rarity(texts: Sequence[str]) -> int:
+    return min(map(len, texts))
+
+
 def _asked(meets: DataFrame, names: str | Sequence[str] | DataFrame) -> DataFrame:
     """The searched names once each, with their words of more than two letters."""
     if isinstance(names, DataFrame):
@@ -84,31 +104,91 @@ def _literal_hits(meets: DataFrame, asked: DataFrame, fuzzy: bool) -> tuple[Data
     return hits, open_.filter(F.size("_words") == 0).select("query")
 
 
-def _pattern_hits(meets: DataFrame, queries: Sequence[str], fuzzy: bool) -> tuple[DataFrame, DataFrame]:
-    """The same for regular expressions, which every different name is tested for."""
-    names = meets.select("Name").filter(F.col("Name").isNotNull()).distinct()
+def _listed_hits(names: DataFrame, queries: Sequence[str], fuzzy: bool, regex: bool) -> DataFrame:
+    """(Name, query, tier) for a few queries at a time, each tested on every different name."""
+    lowered = F.lower("Name")
+
+    def tier_of(query: str) -> Column:
+        if regex:
+            hit = F.when(F.col("Name").rlike("(?i)" + query), 1)
+            words = [F.col("Name").rlike("(?i)" + w) for w in _word_patterns(query)]
+        else:
+            hit = F.when(lowered.contains(F.lower(F.lit(query))), 1)
+            words = [lowered.contains(F.lower(F.lit(w))) for w in _words(query)]
+        return hit.when(reduce(and_, words), 2) if fuzzy and words else hit
+
     found = []
     for at in range(0, len(queries), _PATTERNS):
-        candidates = []
-        for query in queries[at : at + _PATTERNS]:
-            tier = F.when(F.col("Name").rlike("(?i)" + query), 1)
-            words = [w for w in query.lower().split() if len(w) > 2]
-            if fuzzy and words:
-                hit = F.lit(True)
-                for word in words:
-                    hit = hit & F.col("Name").rlike("(?i)" + word)
-                tier = tier.when(hit, 2)
-            candidates.append(F.struct(F.lit(query).alias("query"), tier.alias("tier")))
+        candidates = [
+            F.struct(F.lit(q).alias("query"), tier_of(q).alias("tier"))
+            for q in queries[at : at + _PATTERNS]
+        ]
         kept = F.filter(F.array(*candidates), lambda c: c["tier"].isNotNull())
         found.append(names.select("Name", F.explode(kept).alias("_hit")).select("Name", "_hit.*"))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _indexed_hits(names: DataFrame, needs: Mapping[str, Sequence[Needs]], fuzzy: bool) -> DataFrame:
+    """The same for expressions with needed text: names meet them by pieces of three letters.
+
+    ``needs`` has, for each expression, the needed text of the whole and, where words count, of one word.
+    A name that lacks the needed text cannot match, and the expression itself decides on the others.
+    """
+    asked = [
+        (query, tier, text[:PIECE], text)
+        for query, tiers in needs.items()
+        for tier, texts in enumerate(tiers, 1)
+        for text in texts or ()
+    ]
+    schema = "query string, tier int, _piece string, _text string"
+    wanted = names.sparkSession.createDataFrame(asked, schema)
+    at = F.sequence(F.lit(1), F.length("_lowered") - PIECE + 1)
+    pieces = (
+        names.select("Name", F.lower("Name").alias("_lowered"))
+        .filter(F.length("_lowered") >= PIECE)
+        .select(
+            "*",
+            F.explode(
+                F.array_distinct(F.transform(at, lambda i: F.substring("_lowered", i, F.lit(PIECE))))
+            ).alias("_piece"),
+        )
+    )
+    near = (
+        pieces.join(wanted, "_piece")
+        .filter(F.contains("_lowered", "_text"))
+        .select("Name", "query", "tier")
+        .distinct()
+    )
+    words = F.filter(F.split(F.trim(F.lower("query")), r"(?U)\s+"), lambda w: F.length(w) > 2)
+    parts = F.when(F.col("tier") == 1, F.array("query")).otherwise(words)
+    return near.filter(F.forall(parts, lambda p: F.rlike(F.col("Name"), F.concat(F.lit("(?i)"), p))))
+
+
+def _pattern_hits(
+    meets: DataFrame, queries: Sequence[str], fuzzy: bool, regex: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(Name, query, tier) of queries known to the driver, and those that match every row.
+
+    Up to _PATTERNS queries, and expressions without needed text, are tested on every different name.
+    """
+    names = meets.select("Name").filter(F.col("Name").isNotNull()).distinct()
+    needs = {}
+    if regex and len(queries) > _PATTERNS:
+        for query in queries:
+            by_word = [needed(w) for w in _word_patterns(query)] if fuzzy else []
+            whole, word = needed(query), max((n for n in by_word if n), key=_rarity, default=None)
+            if whole and (word or not by_word):
+                needs[query] = (whole, word)
+    tested = [q for q in queries if q not in needs]
+    parts = [_listed_hits(names, tested, fuzzy, regex)] if tested else []
+    if needs:
+        parts.append(_indexed_hits(names, needs, fuzzy))
+    hits = reduce(DataFrame.unionByName, parts)
     best = hits.groupBy("query").agg(F.min("tier").alias("tier"))
     hits = hits.join(best, ["query", "tier"], "left_semi").select("Name", "query", "tier")
-    short = [(q,) for q in queries if not any(len(w) > 2 for w in q.lower().split())]
+    short = [(q,) for q in queries if not _words(q)]
     all_rows = meets.sparkSession.createDataFrame(short if fuzzy else [], "query string")
-    direct = hits.filter("tier = 1").select("query").distinct()
+    direct = best.filter("tier = 1").select("query")
     return hits, all_rows.join(direct, "query", "left_anti")
 
 
@@ -126,18 +206,24 @@ def search_lifter(
     without a name.
 
     The search runs over the different names of the meets; their rows join by equality.
-    With ``regex`` (lists only) every different name is tested for every expression.
+    A short list is tested name by name.  A table, or a longer list, is joined on pieces of
+    the names; the lengths of the pieces are collected when the query is built.
+
+    With ``regex`` (lists only) an expression of a longer list is tested on the names that
+    hold the text it needs, found by pieces of three letters; one that needs no such text is
+    tested on every different name.  An expression whose words are not expressions by
+    themselves has direct matches only.
     """
-    if regex:
-        if isinstance(names, DataFrame):
-            raise ValueError("regular expressions are given as a list")
-        queries = [names] if isinstance(names, str) else list(dict.fromkeys(names))
-        for query in queries:
-            re.compile(query)
-        if not queries:
-            regex, names = False, []
-    if regex:
-        hits, all_rows = _pattern_hits(meets, queries, fuzzy)
+    if regex and isinstance(names, DataFrame):
+        raise ValueError("regular expressions are given as a list")
+    queries = None
+    if not isinstance(names, DataFrame):
+        listed = [names] if isinstance(names, str) else names
+        queries = list(dict.fromkeys(q for q in listed if q is not None))
+    for query in queries if regex else ():
+        re.compile(query)
+    if queries and (regex or len(queries) <= _PATTERNS):
+        hits, all_rows = _pattern_hits(meets, queries, fuzzy, regex)
     else:
         hits, all_rows = _literal_hits(meets, _asked(meets, names), fuzzy)
     found = meets.join(hits, "Name").select(*meets.columns, "query", "tier")

@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from ironlog.functions.patterns import needed
 from ironlog.operators import meets, progress
 from ironlog.sources import readers
 from tests.helpers import D, entry, log_rows, rows
@@ -77,6 +79,41 @@ def test_search_takes_any_number_of_names(spark):
     assert meets.search_lifter(m, []).count() == 0
 
 
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_many_expressions_meet_names_by_needed_text(spark, monkeypatch, fuzzy):
+    names = ["Jon Smithson", "Jonathan  O'Neil", "JANE smith", "Bo Li", "Zoë Ünal", "", "smi", "Smith\nJane", None]
+    m = spark.createDataFrame([(n, i) for i, n in enumerate(names * 2)], "Name string, row int")
+    queries = [
+        "smith", "smith jane", "son$", "^jo(n|nathan) ", "ab{2,3}", "(smi){2}", "o'neil", "(?i)LI", "[a-z]+son\\b", "ünal",
+        "(?m)^jane", "smi\\x74h", "jane|smith", "jane|li", "(jane smith|bo li)", "(zzz)?bo li", "smi.?h ja", "zz q", "", "j.n.",
+        "(?!jane)smith", "smith(?=son)", "nal .zo", "athan neil",
+    ]
+    plain = meets.search_lifter(m, queries, fuzzy, regex=True)
+    monkeypatch.setattr(meets, "_PATTERNS", 3)
+    indexed = meets.search_lifter(m, queries, fuzzy, regex=True)
+    assert plain.count() > 20
+    assert rows(indexed, "query", "tier", "row") == rows(plain, "query", "tier", "row")
+    plan = spark._jvm.PythonSQLUtils.explainString(indexed._jdf.queryExecution(), "simple")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_short_and_long_lists_find_the_same(spark, monkeypatch):
+    m = _meets(spark)
+    queries = ["smith", "a. s", "smithson anna", "xyz q", "", "LI", "li  jo", "%", "smith"]
+    short = rows(meets.search_lifter(m, queries), "query", "Name")
+    monkeypatch.setattr(meets, "_PATTERNS", 1)
+    assert rows(meets.search_lifter(m, queries), "query", "Name") == short
+
+
+def test_needed_text():
+    known = {
+        "smith": ("smith",), "a.na": None, "(john|jane) smi": (" smi",), "jane|smith": ("jane", "smith"), "jane|li": None,
+        "x?smith": ("smith",), "(smith)?": None, "(smith)+": ("smith",), "ab{2,3}cde": ("cde",), "smi\\x41th": None,
+        "(?x)s m i t h": None, "(?iu)smith": None, "(?i:smith)": ("smith",), "(?!abc)de": None, "[smith]": None, "(smith": None,
+    }
+    assert {p: needed(p) for p in known} == known
+
+
 def test_short_words_also_find_rows_without_a_name(spark):
     m = _meets(spark)
     unnamed = m.withColumn("Name", F.when(F.col("Name") != "Jo Li", F.col("Name")))
