@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ironlog.llm.common import new_path, stored
 
-#: Records in an archive, unless the longest pages would make it larger than MOST_BYTES.
-RECORDS, MOST_BYTES = 2048, 1 << 30
+#: Records in an archive, unless its longest pages could make it larger than MOST_BYTES; pages above LONG bytes have archives of their own.
+RECORDS, MOST_BYTES, LONG = 2048, 128 << 20, 1 << 18
+#: Bytes unpacked at a time from a damaged member.
+STEP = 4096
 #: Repeated payloads are looked up in a broadcast table up to so many, in a join beyond.
 SMALL = 100_000
 BREAK = "\r\n"
@@ -69,9 +72,13 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
 
     A record ends with two line breaks, which is what separates the lines of Spark's text writer here, so the files need
     no other writer and go to any store that Spark writes.  ``X-Payload-Length`` holds the full payload's length in revisits.
+
+    Pages of more than LONG bytes go to archives of their own, so that a few of them do not make all others small.
     """
     rows = with_revisits(pages)
-    longest = rows.agg(F.max("payload_bytes")).first()[0] or 0
+    tall = F.col("payload_bytes") > LONG
+    sizes = F.max(F.when(~tall, F.col("payload_bytes"))), F.max(F.when(tall, F.col("payload_bytes")))
+    longest = pages.select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("payload_bytes")).agg(*sizes).first()
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "),
         F.col("payload_bytes").cast("string"), F.lit(BREAK * 2),
@@ -92,9 +99,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         _field("Content-Length", F.octet_length("block").cast("string")),
         F.lit(BREAK),
     )
-    record = rows.withColumn("block", block).select(F.concat(head, "block").alias("value"))
-    most = max(1, min(RECORDS, MOST_BYTES // (longest + 4096)))
-    record.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", most).text(path)
+    record = F.concat(head, "block").alias("value")
+    for part, size in ((~tall, longest[0] or 0), (tall, longest[1])):
+        if size is not None:
+            most = max(1, min(RECORDS, MOST_BYTES // (size + 4096)))
+            written = rows.where(part).withColumn("block", block).select(record)
+            written.write.mode("append").option("lineSep", BREAK * 2).option("maxRecordsPerFile", most).text(path)
 
 
 class Damage(ValueError):
@@ -161,10 +171,47 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str],
         yield lost, at, fault, {}, b""
 
 
+def _before_fault(data: bytes, at: int, why: str) -> list[tuple[int, int, str | None, dict[str, str], bytes]]:
+    """Records and gaps of the part of a damaged gzip member that unpacks, a gap last; nothing if no record is left.
+
+    Places are those of the steps (of STEP bytes, near the fault of one) in which a record or gap begins and ends; neighbours may share a step.
+    Damage can change bytes before it is noticed, so records without a digest of their own payload, revisits too, count as lost.
+    """
+    unpack, parts, view, step = zlib.decompressobj(31), [], memoryview(data), STEP
+    reached, sizes = [at], [0]
+    while reached[-1] < len(data) and not unpack.eof:
+        before = unpack.copy()
+        try:
+            parts.append(unpack.decompress(view[reached[-1] : reached[-1] + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            unpack, step = before, 1  # the last step again, byte by byte
+            continue
+        reached.append(min(reached[-1] + step, len(data)))
+        sizes.append(sizes[-1] + len(parts[-1]))
+    rows = []
+    for begin, end, wrong, fields, payload in salvage(b"".join(parts)):
+        place = reached[bisect_right(sizes, begin) - 1], reached[bisect_left(sizes, end)]
+        own = fields.get("warc-type") != "revisit" and fields.get("warc-payload-digest", "").startswith("sha1:")
+        if wrong is None and own:
+            rows.append((*place, None, fields, payload))
+        elif rows and rows[-1][2]:
+            rows[-1] = (rows[-1][0], place[1], *rows[-1][2:])
+        else:
+            rows.append((*place, wrong or "no digest in a damaged member", {}, b""))
+    if all(wrong for _, _, wrong, *_ in rows):
+        return []
+    if rows[-1][2] is None:
+        rows.append((rows[-1][1], rows[-1][1], why, {}, b""))
+    return rows
+
+
 def salvage_members(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """The same for files of gzip members, plain records or both, however they begin; places in members are those of the members.
 
     After a failed check the nearer of the next gzip member that unpacks to records and the next version line is searched for.
+    Records of a damaged member that were unpacked before the fault are kept where their digests hold; the gap begins behind them.
     """
     at, lost, fault, line = 0, None, "", -1
     while at < len(data):
@@ -183,6 +230,12 @@ def salvage_members(data: bytes) -> Iterator[tuple[int, int, str | None, dict[st
                 end, fields, payload = _record(data, at)
                 found = [(at, end, None, fields, payload)]
         except (zlib.error, Damage) as why:
+            kept = _before_fault(data, at, str(why)) if packed else []
+            if kept:
+                if lost is not None:
+                    yield lost, at, fault, {}, b""
+                yield from kept[:-1]
+                lost, fault = kept[-1][0], kept[-1][2]
             if lost is None:
                 lost, fault = at, str(why)
             member = data.find(_GZIP, at + 1)

@@ -238,10 +238,47 @@ def test_damaged_archives_lose_only_damaged_records():
     members[2] = members[2][:20] + b"\xff\xff" + members[2][22:]
     members.insert(4, b"\x1f\x8b\x08 not a member")
     found = list(warc.salvage_members(b"".join(members) + gzip.compress(parts[0])[:-3]))
-    assert [f["warc-record-id"][18:-1] for _, _, fault, f, _ in found if fault is None] == ["0", "1", "3", "4", "5"]
+    # the last member lacks its end, but its record is there and its digest holds
+    assert [f["warc-record-id"][18:-1] for _, _, fault, f, _ in found if fault is None] == ["0", "1", "3", "4", "5", "0"]
     assert sum(fault is not None for _, _, fault, *_ in found) == 3
 
 
+def test_one_damaged_member_keeps_its_records_up_to_the_fault():
+    rng = random.Random(7)
+    payloads = [bytes(rng.choices(b"abcdefgh ", k=400)) for _ in range(200)]
+    head = record(200, b"")
+    packed = gzip.compress(b"".join(record(i, p) for i, p in enumerate(payloads)))
+    at = len(packed) * 9 // 10
+    broken = packed[:at] + bytes(b ^ 255 for b in packed[at : at + 8]) + packed[at + 8 :]
+    found = list(warc.salvage_members(gzip.compress(head) + broken + gzip.compress(record(201))))
+    good = [(int(f["warc-record-id"][18:-1]), payload) for _, _, fault, f, payload in found if fault is None]
+    assert good[0] == (200, b"") and good[-1] == (201, b"body")
+    assert 140 <= len(good) - 2 < 200 and good[1:-1] == [(i, payloads[i]) for i in range(len(good) - 2)]
+    gaps = [(begin, end) for begin, end, fault, *_ in found if fault]
+    assert len(gaps) == 1 and gaps[0][0] <= len(gzip.compress(head)) + at < gaps[0][1]
+
+
+def test_a_changed_record_inside_a_damaged_member_is_a_gap():
+    plain = b"".join(record(i, b"payload %d" % i) for i in range(5))
+    packed = gzip.compress(plain)
+    other = gzip.compress(plain.replace(b"payload 2", b"payload X"))
+    found = list(warc.salvage_members(other[:-8] + packed[-8:] + gzip.compress(record(9))))
+    assert [f["warc-record-id"][18:-1] if fault is None else fault for _, _, fault, f, _ in found][:5] == ["0", "1", "digest differs", "3", "4"]
+    assert [f["warc-record-id"][18:-1] for _, _, fault, f, _ in found[5:] if fault is None] == ["9"] and len(found) == 7
+
+
+def test_long_pages_have_archives_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LONG", 100)
+    monkeypatch.setattr(warc, "MOST_BYTES", 3 * 4196)
+    texts = ["x" * n for n in (0, 5, 100, 101, 5000, 9, 20000, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").selectExpr("page_id", "'u' AS url", "html").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    found = warc.read_archives(spark, str(tmp_path / "w"), pattern="part-*").collect()
+    assert sorted((int(r["record_id"][18:-1]), bytes(r["payload"]).decode()) for r in found) == list(enumerate(texts))
+    together = [{int(r["record_id"][18:-1]) for r in found if r["archive"] == name} for name in {r["archive"] for r in found}]
+    assert sorted(map(sorted, together)) == [[0, 1, 2], [3], [4], [5, 7], [6]]
+
+
 def test_gaps_are_rows(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1) + record(2)[:-8] + record(3))
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(4)) + b"\x1f\x8b\x08x" + gzip.compress(record(5)))
