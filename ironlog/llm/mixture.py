@@ -18,6 +18,7 @@ from ironlog.llm.words import mix
 #: Words in a block, blocks in an output shard, output shards that are drawn together.
 BLOCK, SHARD_BLOCKS, TOGETHER = 256, 4096, 64
 WEIGHTS = (5.0, 2.0, 1.0)
+SEED = 20_11
 WORD = SPACE.replace("[", "[^", 1) + "+"
 _U = np.uint64
 
@@ -78,9 +79,9 @@ def _super(slot: str, groups: int) -> Column:
     return F.expr(f"(({slot} + 1) * {groups} + slots - 1) div slots - 1")
 
 
-def _draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _draw(seed: int, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Source counts of each output shard of a group: multinomial, given the totals that the group must use up."""
-    rng = np.random.default_rng([20_11, int(key[0])])
+    rng = np.random.default_rng([seed, int(key[0])])
     rows = rows.sort_values("skey")
     left = rows["n"].to_numpy(np.int64).copy()
     sizes = np.diff(np.arange(TOGETHER + 1) * left.sum() // TOGETHER)
@@ -93,7 +94,7 @@ def _draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"skey": rows["skey"].to_numpy(), "grp": rows["grp"].to_numpy(), "ends": list(ends)})
 
 
-def spans(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def spans(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """One row per document and block taken from it, at least one per row of ``docs`` (``words`` 0 if nothing is taken).
 
     Columns: doc_id, mark (hash of the text), size, source_size, target, start (place in the source's stream of words),
@@ -102,7 +103,7 @@ def spans(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS,
     A source's documents form one stream of words in a fixed pseudorandom order, cut into blocks of ``block`` words.  Its
     word budget is its target, rounded: whole rounds over all blocks, then a part of one, in which the order is given by the
     source's own permutation of block numbers; the last block is cut so that the budget is met to the word.  Output shards draw their
-    counts of blocks per source, and slots meet blocks by number.
+    counts of blocks per source (``seed`` decides), and slots meet blocks by number.
 
     Null text has no words; null sources are one source.  Repeated rows are separate rows of the stream.
     """
@@ -132,7 +133,7 @@ def spans(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS,
     grp = F.when(F.col("slots") >= groups, F.col("i")).otherwise(_super("i", groups))
     first = F.expr(f"grp * slots div {groups}")
     used = used.withColumn("grp", grp.cast("long")).withColumn("first_slot", first).withColumn("n", F.expr(f"(grp + 1) * slots div {groups}") - F.col("first_slot"))
-    shards = used.select("skey", "grp", "first_slot", "n").groupBy("grp").applyInPandas(_draw, "skey string, grp long, ends array<long>")
+    shards = used.select("skey", "grp", "first_slot", "n").groupBy("grp").applyInPandas(lambda key, drawn: _draw(seed, key, drawn), "skey string, grp long, ends array<long>")
 
     taken = rows.drop("source").join(plan, "skey")
     blocks = F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))
@@ -156,9 +157,16 @@ def spans(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS,
 
 
 def mixture(docs: DataFrame, **settings: float) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document (see ``spans``); taken counts repeats."""
+    """doc_id, size, source_size, target, taken and blocks of every document (see ``spans``); taken counts repeats.
+
+    ``blocks`` lists what the mix takes of the document, in order: the output shard that drew the slot, the slot in its source's
+    permutation, the first word and the number of words; empty if nothing is taken.  Joined by shard and slot, over all
+    documents, these are the shards.  A document has one entry per block of its own words and round.
+    """
     row = ["doc_id", "skey", "mark", "size", "start", "source_size", "target"]
-    return spans(docs, **settings).groupBy(*row).agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    block = F.when(F.col("words") > 0, F.struct("shard", "slot", "word", "words"))
+    rows = spans(docs, **settings).groupBy(*row).agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(block)).alias("blocks"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "blocks")
 
 
 def _cut(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:

@@ -153,6 +153,20 @@ def test_mixture_meets_every_slot_once(spark):
     assert max(map(len, shards.values())) <= 5 and None not in shards
 
 
+def test_draw_decides_the_shards_and_no_total(spark):
+    docs = cases.documents(spark, [(i, cases.prose(i, i % 120), "abc"[i % 3]) for i in range(150)] + [(900, None, "a"), (901, "", None)])
+    runs = {seed: {r["doc_id"]: r for r in mixture.mixture(docs, block=8, shard_blocks=4, seed=seed).collect()} for seed in (1, 2)}
+    placed = {seed: {i: [(b["slot"], b["word"], b["words"]) for b in r["blocks"]] for i, r in rows.items()} for seed, rows in runs.items()}
+    for seed, rows in runs.items():
+        assert all(r["taken"] == sum(b["words"] for b in r["blocks"]) for r in rows.values())
+        assert all(0 <= b["word"] and b["word"] + b["words"] <= r["size"] for r in rows.values() for b in r["blocks"])
+        assert rows[900]["blocks"] == rows[901]["blocks"] == []
+    assert {i: r["taken"] for i, r in runs[1].items()} == {i: r["taken"] for i, r in runs[2].items()}
+    assert {i: sorted(p) for i, p in placed[1].items()} == {i: sorted(p) for i, p in placed[2].items()}
+    shards = [{i: {(b["shard"], b["slot"]) for b in r["blocks"]} for i, r in rows.items()} for rows in runs.values()]
+    assert shards[0] != shards[1]
+
+
 def test_mixed_documents(messy, nothing):
     mixed = mixture.mixed(messy, block=16)
     assert mixed.columns == messy.columns
