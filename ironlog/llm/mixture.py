@@ -47,7 +47,8 @@ def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(T.LongType())
 def _slot(block: pd.Series, blocks: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series(permuted(block.to_numpy(np.int64), np.maximum(blocks.to_numpy(np.int64), 1), seed.to_numpy(np.int64)))
+    # a source without words has no block; its slot is not used
+    return pd.Series(permuted(np.maximum(block.to_numpy(np.int64), 0), np.maximum(blocks.to_numpy(np.int64), 1), seed.to_numpy(np.int64)))
 
 
 def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
