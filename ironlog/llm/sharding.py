@@ -7,7 +7,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ironlog.llm.common import only, stored
@@ -116,7 +116,8 @@ def pack(spark: SparkSession, items: DataFrame, shards: int | None = None, capac
     crates = chain.groupBy("bin").agg(F.sum("bytes").alias("bytes")).withColumnRenamed("bin", "item")
     if count > limit:
         last = _in_lanes(crates, capacity, count, level)
-        number = last.select("bin").distinct().withColumn("shard", F.row_number().over(Window.orderBy("bin")) - 1)
+        bins = stored(last.select("bin").distinct().withColumns({"all": F.lit(0), "one": F.lit(1)}), "bins")
+        number = with_start(bins, "all", ["bin"], "one", "shard").select("bin", F.col("shard").cast("int").alias("shard"))
         last = last.join(number, "bin").select(F.col("item").alias("bin"), "shard")
     else:
         rows = crates.orderBy("item").toPandas()

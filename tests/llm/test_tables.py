@@ -91,6 +91,7 @@ def test_shards_of_a_capacity(spark, monkeypatch, nothing):
         loads = defaultdict(int)
         for r in sharding.byte_shards(docs, capacity=2000).collect():
             loads[r["shard"]] += r["size"]
+        assert sorted(loads) == list(range(len(loads)))
         assert max(loads.values()) <= 2000 and len(loads) <= 1.15 * sum(loads.values()) / 2000 + 3
     assert sharding.byte_shards(nothing).count() == 0
 
