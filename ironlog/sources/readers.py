@@ -58,33 +58,141 @@ def _block_name(folder: str | None) -> Column:
 _FIELD = (
     r',*+("[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+)(?:\r\n|\n|\r|\z|(?=,))'
 )
+# A line whose last field opens a quote and does not close it.
+_OPENS = (
+    r'\A(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,\r]*+|(?!")[^,\r]*+)[,\r])*+"[^"]*+(?:""[^"]*+)*+\z'
+)
+# Up to the end of the field in which a quote, open since an earlier line, closes.
+_CLOSES = r'\A[^"]*+(?:""[^"]*+)*+"[^,\r]*+'
+
+_SPLIT = ("_file", "_start")
 
+#: Bytes up to which a file is read as one record.
+WHOLE_UP_TO = 16 * 1024 * 1024
 
-def _with_file_offsets(sheets: DataFrame) -> DataFrame:
-    """``sheets`` (a row per file) with the rows of the sheet's earlier files.
 
-    Counts and running sums see one narrow row per file.  Files of a sheet stand in the
-    order of the first number in their names; an order that names do not define is an error.
+def _begins_quoted(steps: DataFrame, of: Sequence[str], order: str) -> DataFrame:
+    """``_parity`` and ``_free``: the quote state in which each step begins.
+
+    A step takes a state (0 outside, 1 inside a quoted field) to ``_out`` from outside and
+    to ``_in`` from inside: it fixes the state, keeps it or turns it.  Before a step the
+    state is what the last fixing step left, turned as often as steps since then turn it.
+    ``_free`` says that no step of the group has fixed it so far: then ``_parity`` is to be
+    turned by the state in which the group begins.
     """
-    sheet = W.partitionBy("athlete_id", "block")
-    ended = F.filter("_fields", lambda f: f.rlike(r"[\r\n]\z"))
-    rest = F.element_at("_fields", -1)
-    # a last line without a line break is a line as well
-    open_end = F.when(F.size("_fields") > 0, ~rest.rlike(r"[\r\n]\z") & (rest != "")).otherwise(False)
-    number = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"\d+", 0).try_cast("decimal(38,0)")
-    files = sheets.select(
-        "_file", "athlete_id", "block", number.alias("_number"),
-        (F.size(ended) + open_end.cast("int")).cast("long").alias("_lines"),
+    ordered = W.partitionBy(*of).orderBy(order)
+    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+    turn = ((F.col("_out") == 1) & (F.col("_in") == 0)).cast("int")
+    fixed = F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").alias("to"), F.col("_turns").alias("turns")))
+    return (
+        steps.withColumn("_turns", F.sum(turn).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_fixed", F.last(fixed, ignorenulls=True).over(before))
+        .withColumn("_since", F.col("_turns") - turn - F.coalesce("_fixed.turns", F.lit(0)))
+        .withColumns({
+            "_parity": F.pmod(F.coalesce("_fixed.to", F.lit(0)) + F.col("_since"), F.lit(2)).cast("int"),
+            "_free": F.col("_fixed").isNull(),
+        })
+        .drop("_turns", "_fixed", "_since")
+    )
+
+
+def _state(begin: Column | int) -> Column:
+    """State before a step of ``_begins_quoted`` when its group begins in ``begin``."""
+    start = F.lit(begin) if isinstance(begin, int) else begin
+    return F.when(F.col("_free"), F.col("_parity").bitwiseXOR(start)).otherwise(F.col("_parity"))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines joined to records where a quoted field holds line breaks.
+
+    ``lines`` has the file, the start of the split, and the order within the split.  Each
+    line is evaluated for both quote states, each split is summed up for both, and the
+    splits of a file, one narrow row each, are put in a row; a task never sees more of a
+    file than a split and the record that crosses its end.  A quote that no later line of
+    the file closes is text, so from its line on each line is a record.
+    """
+    first = (F.col("_start") == 0) & (F.col("_line") == 1)
+    bare = F.when(first, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    behind = F.regexp_replace("value", _CLOSES, "")
+    lines = (
+        lines.withColumn("_line", F.row_number().over(W.partitionBy(*_SPLIT).orderBy("_id")))
+        .withColumn("value", bare)
+        .withColumns({
+            "_out": F.col("value").rlike(_OPENS).cast("int"),
+            "_in": F.when(F.col("value").rlike(_CLOSES), behind.rlike(_OPENS).cast("int")).otherwise(1),
+        })
+    )
+    lines = _begins_quoted(lines, _SPLIT, "_line")
+
+    def after(begin: int) -> Column:
+        return F.max_by(F.when(_state(begin) == 1, F.col("_in")).otherwise(F.col("_out")), "_line")
+
+    def opened(begin: int) -> Column:
+        return F.max(F.when(_state(begin) == 0, F.col("_line")))
+
+    splits = lines.groupBy(*_SPLIT).agg(
+        after(0).alias("_out"), after(1).alias("_in"), opened(0).alias("_opened0"), opened(1).alias("_opened1")
+    )
+    file = W.partitionBy("_file").orderBy("_start")
+    whole = file.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    earlier = file.rowsBetween(W.unboundedPreceding, -1)
+    line = F.when(F.col("_begin") == 0, F.col("_opened0")).otherwise(F.col("_opened1"))
+    place = F.when(line.isNotNull(), F.struct("_start", line.alias("_line")))
+    end = F.when(F.col("_begin") == 1, F.col("_in")).otherwise(F.col("_out"))
+    splits = (
+        _begins_quoted(splits, ["_file"], "_start")
+        .withColumn("_begin", _state(0))
+        .withColumns({
+            "_prior": F.last(place, ignorenulls=True).over(earlier),
+            "_loose": F.when(F.last(end).over(whole) == 1, F.last(place, ignorenulls=True).over(whole)),
+        })
+        .select(*_SPLIT, "_begin", "_prior", "_loose")
     )
-    files = files.withColumns({
-        "_files": F.count("*").over(sheet),
-        "_alike": F.count("*").over(W.partitionBy("athlete_id", "block", "_number")),
-        "_before": F.sum("_lines").over(sheet.orderBy("_number").rowsBetween(W.unboundedPreceding, -1)),
+    here = F.struct("_start", "_line")
+    alone = F.coalesce(here >= F.col("_loose"), F.lit(False))
+    begun = F.when((_state(F.col("_begin")) == 0) | alone, here)
+    so_far = W.partitionBy(*_SPLIT).orderBy("_line").rowsBetween(W.unboundedPreceding, 0)
+    of = F.coalesce(F.last(begun, ignorenulls=True).over(so_far), F.col("_prior"))
+    parts = F.array_sort(F.collect_list(F.struct("_start", "_line", "value")))
+    text = F.array_join(F.transform(parts, lambda p: F.concat(p["value"], F.lit("\n"))), "")
+    return (
+        lines.join(splits, list(_SPLIT))
+        .withColumn("_of", of)
+        # both the records and what is counted per split of them need no further shuffle
+        .repartition("_file", "_of._start")
+        .groupBy("_file", F.col("_of._start").alias("_first"), F.col("_of._line").alias("_at"))
+        .agg(F.first("athlete_id").alias("athlete_id"), F.first("block").alias("block"), text.alias("_text"))
+        .withColumnRenamed("_first", "_start")
+        .withColumnRenamed("_at", "_line")
+    )
+
+
+def _whole_records(files: DataFrame) -> DataFrame:
+    """A record per file, as ``_records`` gives them: a last line ends with a line break, too."""
+    text = F.regexp_replace("value", "^\ufeff", "")
+    open_end = (text != "") & ~text.rlike(r"[\r\n]\z")
+    text = F.when(open_end, F.concat(text, F.lit("\n"))).otherwise(text)
+    return files.select("_file", "_start", F.lit(1).alias("_line"), "athlete_id", "block", text.alias("_text"))
+
+
+def _row_offsets(splits: DataFrame) -> DataFrame:
+    """(_file, _start, _offset): the sheet's rows before each split.
+
+    Running sums see one narrow row per split.  Files of a sheet stand in the order of the
+    first number in their names; an order that names do not define is an error.
+    """
+    number = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"\d+", 0).try_cast("decimal(38,0)")
+    sheet = W.partitionBy("athlete_id", "block").orderBy("_number", "_file", "_start")
+    whole = sheet.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    splits = splits.withColumn("_number", number).withColumns({
+        "_several": F.min("_file").over(whole) != F.max("_file").over(whole),
+        "_other": (F.lag("_file").over(sheet) != F.col("_file")) & F.lag("_number").over(sheet).eqNullSafe(F.col("_number")),
+        "_before": F.sum("_rows").over(sheet.rowsBetween(W.unboundedPreceding, -1)),
     })
-    unclear = (F.col("_files") > 1) & (F.col("_number").isNull() | (F.col("_alike") > 1))
+    unclear = F.col("_several") & (F.col("_number").isNull() | F.col("_other"))
     message = F.concat(F.lit("no order of files is defined for sheet "), F.col("block"), F.lit(": "), F.col("_file"))
     offset = F.when(unclear, F.raise_error(message).cast("long")).otherwise(F.coalesce("_before", F.lit(0)))
-    return sheets.join(files.select("_file", offset.alias("_offset")), "_file")
+    return splits.select(*_SPLIT, offset.alias("_offset"))
 
 
 def read_cells(
@@ -92,6 +200,7 @@ def read_cells(
     path: str | list[str],
     folder: str | None = None,
     athlete: int | str = 0,
+    whole_up_to: int = WHOLE_UP_TO,
 ) -> DataFrame:
     """Header-less CSV sheets, one per training block, as grid cells.
 
@@ -104,39 +213,58 @@ def read_cells(
     the order of the first number in the file names (``part-00007-...``, ``grid 7.csv``).
     Two files of one sheet with the same number, or without one, are an error when read.
 
-    A file is one record, cut into fields by one expression; files are read in
-    parallel.  Quoted fields may hold commas, quotes and line breaks.
+    Quoted fields may hold commas, quotes and line breaks.  A quote that is never closed is text.
+    Where no file is larger than ``whole_up_to`` bytes, a file is one record; otherwise a file is
+    read by as many tasks as it has splits, quoted fields across their ends included, and only
+    a single row of the sheet must fit in a task.  The cells are the same either way.  The
+    sizes are looked up when the reader is called, by a job that opens no file.
     """
-    text = F.regexp_replace("value", "^\ufeff", "")
-    fields = F.regexp_extract_all(text, F.lit(_FIELD), F.lit(0))
     owner = F.lit(athlete) if isinstance(athlete, int) else F.col(athlete)
-    sheets = (
-        spark.read.text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("_file"),
-            owner.cast("int").alias("athlete_id"),
-            _block_name(folder).alias("block"),
-            # behind the last field an empty one is found
-            F.slice(fields, 1, F.size(fields) - 1).alias("_fields"),
-        )
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    whole = largest is None or largest <= whole_up_to
+    read = spark.read.text(path, wholetext=True) if whole else spark.read.text(path, lineSep="\n")
+    read = read.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+        owner.cast("int").alias("athlete_id"),
+        _block_name(folder).alias("block"),
+        "value",
+    )
+    fields = F.regexp_extract_all("_text", F.lit(_FIELD), F.lit(0))
+    ended = F.filter("_fields", lambda f: f.rlike(r"[\r\n]\z"))
+    records = (
+        (_whole_records(read) if whole else _records(read))
+        # behind the last field an empty one is found
+        .withColumn("_fields", F.slice(fields, 1, F.size(fields) - 1))
+        .withColumn("_rows", F.size(ended).cast("long"))
     )
-    sheets = _with_file_offsets(sheets)
+    if whole:
+        numbered, splits = records.withColumn("_above", F.lit(0)), records
+    else:
+        above = W.partitionBy(*_SPLIT).orderBy("_line").rowsBetween(W.unboundedPreceding, -1)
+        numbered = records.withColumn("_above", F.coalesce(F.sum("_rows").over(above), F.lit(0)))
+        owners = (F.first(c).alias(c) for c in ("athlete_id", "block"))
+        splits = records.groupBy(*_SPLIT).agg(*owners, F.sum("_rows").alias("_rows"))
+    splits = splits.select(*_SPLIT, "athlete_id", "block", "_rows")
+    numbered = numbered.join(_row_offsets(splits), list(_SPLIT))
     before = (
-        W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*_SPLIT, "_line").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     )
     commas = F.length(F.regexp_extract("_field", r"\A,*", 0))
     value = F.regexp_replace("_field", r"(\r\n|\n|\r)\z", "")
     value = F.regexp_replace(value, r"\A,+", "")
     ends = F.col("_field").rlike(r"[\r\n]\z")
     passed = F.coalesce(F.sum("_commas").over(before), F.lit(0)) + F.col("_commas")
+    first = F.col("_offset") + F.col("_above")
     cut = (
-        sheets.select(
-            "_file", "athlete_id", "block", "_offset", F.posexplode("_fields").alias("_at", "_field")
+        numbered.select(
+            *_SPLIT, "_line", "athlete_id", "block", first.alias("_row"), F.posexplode("_fields").alias("_at", "_field")
         )
         .withColumns({"_commas": commas, "_value": value, "_ends": ends})
         .withColumns(
             {
-                "row_idx": F.col("_offset") + F.coalesce(F.count_if("_ends").over(before), F.lit(0)),
+                "row_idx": F.col("_row") + F.coalesce(F.count_if("_ends").over(before), F.lit(0)),
                 "_passed": passed,
             }
         )

@@ -1,4 +1,6 @@
 import os
+import random
+import re
 
 import pytest
 
@@ -103,13 +105,15 @@ def test_logs_of_one_athlete_need_no_athlete_column(spark, tmp_path):
     assert got.first().athlete_id == 4 and got.first().Load == 100
 
 
-def test_sheets_keep_every_cell_and_every_line(spark, tmp_path):
+@pytest.mark.parametrize("whole", [0, 1 << 24])
+def test_sheets_keep_every_cell_and_every_line(spark, tmp_path, whole):
     wide = "," * 3000 + "far"
     text = '\n\n"a, ""b""\nc",,x\r\n' + wide + "\n\r\n,last"
     (tmp_path / "Block 1.csv").write_bytes(("\ufeff" + text).encode())
     (tmp_path / "Empty.csv").write_text("")
     (tmp_path / "Ended.csv").write_text("p\n")
-    got = rows(readers.read_cells(spark, str(tmp_path), athlete=3), "block", "row_idx", "col_idx")
+    cells = readers.read_cells(spark, str(tmp_path), athlete=3, whole_up_to=whole)
+    got = rows(cells, "block", "row_idx", "col_idx")
     assert [(r["block"], r["row_idx"], r["col_idx"], r["value"]) for r in got] == [
         ("Block 1", 2, 0, 'a, "b"\nc'), ("Block 1", 2, 2, "x"), ("Block 1", 3, 3000, "far"),
         ("Block 1", 5, 1, "last"), ("Ended", 0, 0, "p"),
@@ -118,7 +122,8 @@ def test_sheets_keep_every_cell_and_every_line(spark, tmp_path):
     assert normalize(readers.read_cells(spark, str(tmp_path))).count() == 0
 
 
-def test_a_sheet_in_several_files(spark, tmp_path):
+@pytest.mark.parametrize("whole", [0, 1 << 24])
+def test_a_sheet_in_several_files(spark, tmp_path, whole):
     lines = [f'"x{i}, {i}\n",,{i}\n' if i % 7 else "\n" for i in range(60)]
     lines[-1] = lines[-1].rstrip("\n") if lines[-1] != "\n" else "end"
     want = None
@@ -129,7 +134,7 @@ def test_a_sheet_in_several_files(spark, tmp_path):
         for k in range(files):
             # 10 comes after 9, and what follows the number does not count
             (folder / f"grid {k} {99 - k}.csv").write_text("".join(lines[cuts[k] : cuts[k + 1]]))
-        cells = readers.read_cells(spark, str(tmp_path / str(files)), folder="Block")
+        cells = readers.read_cells(spark, str(tmp_path / str(files)), folder="Block", whole_up_to=whole)
         got = sorted(tuple(r) for r in cells.collect())
         assert len({(r[1], r[2], r[3]) for r in got}) == len(got)
         want = want or got
@@ -181,3 +186,53 @@ def test_a_batch_without_its_record_is_not_seen(spark, tmp_path):
     os.rename(f"{out}/{RECORD}batch=00000001", kept)
     for validated in (True, False):
         assert [r.Block for r in read_ingested(spark, out, validated).collect()] == ["A"]
+
+
+def _plain_cells(text):
+    """Cells of a sheet, read from its first character to its last."""
+    found, row, col, at = {}, 0, 0, 0
+    while at < len(text):
+        closed = re.compile(r'"[^"]*(?:""[^"]*)*"(?!")').match(text, at)
+        end = closed.end() if closed else at
+        end = re.compile(r"[^,\r\n]*").match(text, end).end()
+        value = text[at:end]
+        if len(value) > 1 and value[0] == value[-1] == '"':
+            value = value[1:-1].replace('""', '"')
+        if value:
+            found[row, col] = value
+        stop = re.compile(r"\r\n|\n|\r|,|\Z").match(text, end)
+        row, col = (row, col + 1) if stop.group() == "," else (row + 1, 0)
+        at = stop.end()
+    return found
+
+
+def _random_sheet(seed):
+    pick = random.Random(seed)
+    pieces = ['"a, b"', '"x\ny"', '"q""q\n\n,z"', "plain", '5" bar', '"', '""', '"t"u', "", "\u00e9", "1.5"]
+    ends = [",", ",", ",", "\n", "\n", "\r\n", "\r"]
+    return "".join(pick.choice(pieces) + pick.choice(ends) for _ in range(pick.randint(1, 120)))
+
+
+@pytest.mark.parametrize(("split", "whole"), [(7, 0), (64, 0), (100_000, 0), (100_000, 1 << 24)])
+def test_a_sheet_in_many_splits(spark, tmp_path, split, whole):
+    sheets = {f"S{i}": _random_sheet(i) for i in range(24)}
+    sheets["Long"] = '"' + "line\n" * 200 + '"' + ",tail\n" + "a,b\n" * 200
+    sheets["Loose"] = "a,b\n" * 50 + '"never closed,c\n' + 'd,"",""\n' * 50
+    sheets["Mark"] = '\ufeff"first\nfield",x\ny'
+    for name, text in sheets.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    changed = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    kept = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        cells = readers.read_cells(spark, [str(tmp_path / f"{n}.csv") for n in sheets], whole_up_to=whole)
+        got = {name: {} for name in sheets}
+        for r in cells.collect():
+            assert (r.row_idx, r.col_idx) not in got[r.block]
+            got[r.block][r.row_idx, r.col_idx] = r.value
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for name, text in sheets.items():
+        assert got[name] == _plain_cells(text.removeprefix("\ufeff")), name
