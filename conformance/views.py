@@ -120,10 +120,10 @@ def training_log(
             "Date": c("l_shipdate").cast("date"),
         }
     )
-    joined = (
-        items.join(orders, items.l_orderkey == orders.o_orderkey)
-        .join(customers, orders.o_custkey == customers.c_custkey)
-        .join(parts, items.l_partkey == parts.p_partkey)
+    # orders meet their customers first, so that the order lines move once less
+    owned = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    joined = items.join(owned, items.l_orderkey == orders.o_orderkey).join(
+        parts, items.l_partkey == parts.p_partkey
     )
     sets = c("l_linenumber") + F.when(c("l_quantity") == 50, 4).otherwise(0)
     # halves from 5 to 10
@@ -221,61 +221,63 @@ def raw_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The log of teams of sixty customers as CSV sheets, one per team and block.
 
-    Sheets have blank lines before each day, some also as their first line, and those of
-    odd teams have weeks of 24 columns, which makes them wider than 1500 columns.  Their
+    As in a log kept by hand, weeks stand side by side and share lines: the first training
+    day of every week, below it the second of every week that has one, and so on.  Weeks
+    without entries take no columns, so a sheet grows with its entries, not with entries times
+    weeks.  Sheets have blank lines before each day, some also as their first line, and those
+    of odd teams have weeks of 24 columns, which makes them wider than 1500 columns.  Their
     number grows with the customers, not their size.
     """
     log = training_log(spark, sf_dir, F.floor(F.col("c_custkey") / 60))
-    sheet = W.partitionBy("athlete_id", "Block")
-    week = F.date_trunc("week", F.col("Date")).cast("date")
-    wide = F.when(F.col("athlete_id") % 2 == 1, 2 * WEEK_WIDTH).otherwise(WEEK_WIDTH)
-    placed = (
-        log.withColumn("week", week)
-        .withColumn("first", F.min("week").over(sheet))
-        .withColumn("base", (F.floor(F.datediff("week", "first") / 7) * wide).cast("int"))
-    )
     key = ["athlete_id", "Block"]
     commas = lambda n: F.repeat(F.lit(","), n)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    entries = placed.select(
-        *key, "base", F.weekday("Date").alias("weekday"), F.lit(2).alias("kind"),
-        F.concat(
-            commas(F.col("base")), F.lit('"'), "Exercise", F.lit('"'),
-            commas(F.lit(OFFSETS["load"])), text("Load"), F.lit(","), text("Sets"),
-            F.lit(","), text("Reps"), F.lit(","), text("RPE"),
-        ).alias("value"),
+    wide = F.when(F.col("athlete_id") % 2 == 1, 2 * WEEK_WIDTH).otherwise(WEEK_WIDTH)
+    entry = F.concat(
+        F.lit('"'), "Exercise", F.lit('"'), commas(F.lit(OFFSETS["load"])),
+        text("Load"), F.lit(","), text("Sets"), F.lit(","), text("Reps"), F.lit(","), text("RPE"),
     )
-    days = placed.select(*key, "base", F.weekday("Date").alias("weekday"), "Day").distinct()
-    lines = days.select(
-        *key, "base", "weekday",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("kind"), F.lit("").alias("value")),
-                F.struct(F.lit(1).alias("kind"), F.concat(commas(F.col("base")), "Day").alias("value")),
-            )
-        ).alias("line"),
-    ).select(*key, "base", "weekday", "line.*")
-    weeks = placed.select(*key, "base", F.date_format("week", "yyyy-MM-dd").alias("text")).distinct()
-    before = F.lag("base", 1, 0).over(W.partitionBy(*key).orderBy("base"))
-    header = (
-        weeks.withColumn("text", F.concat(commas(F.col("base") - before), "text"))
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("base", "text"))).alias("parts"))
-        .select(*key, F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("value"))
+    inner = F.lit(OFFSETS["rpe"])
+    by_week = W.partitionBy(*key).orderBy(F.asc_nulls_last("week"))
+    # all that follows keeps this distribution; sheets are small
+    placed = (
+        log.select(*key, "Date", "Day", entry.alias("entry"))
+        .withColumn("week", F.date_trunc("week", F.col("Date")).cast("date"))
+        .repartition(*key)
+        .withColumn("base", ((F.dense_rank().over(by_week) - 1) * wide).cast("int"))
+        .withColumn("level", F.dense_rank().over(W.partitionBy(*key, "base").orderBy("Date")))
+        .withColumn("row", F.row_number().over(W.partitionBy(*key, "base", "level").orderBy("entry")))
+    )
+    dated, opens = F.col("Date").isNotNull(), F.col("row") == 1
+    start = F.coalesce(F.date_format("week", "yyyy-MM-dd"), F.lit(""))
+
+    def cell(when: Column, level: Column, kind: int, row: Column, value: Column) -> Column:
+        fields = level.alias("level"), F.lit(kind).alias("kind"), row.alias("row"), value.alias("value")
+        return F.when(when, F.struct(*fields))
+
+    none = F.lit(0)
+    kinds = F.array(
+        cell(opens & (F.col("level") == 1), none, 0, none, start),
+        cell(dated & opens, F.col("level"), 1, none, F.col("Day")),
+        cell(dated, F.col("level"), 2, F.col("row"), F.col("entry")),
+    )
+    cut = placed.select(*key, "base", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("cell"))
+    cut = cut.select(*key, "base", "cell.*")
+    line = [*key, "level", "kind", "row"]
+    # columns that the cells before it in the line have taken
+    taken = F.lag("base").over(W.partitionBy(*line).orderBy("base")) + F.when(F.col("kind") == 2, inner).otherwise(0)
+    lines = (
+        cut.withColumn("value", F.concat(commas(F.col("base") - F.coalesce(taken, F.lit(0))), "value"))
+        .groupBy(*line)
+        .agg(F.array_sort(F.collect_list(F.struct("base", "value"))).alias("parts"))
+        .withColumn("value", F.array_join(F.transform("parts", lambda p: p["value"]), ""))
     )
-    top = header.select(
-        *key,
-        F.explode(
-            F.array(
-                F.struct(F.lit(-2).alias("base"), F.when(F.col("athlete_id") % 3 == 0, "").otherwise("Log").alias("value")),
-                F.struct(F.lit(-1).alias("base"), F.col("value")),
-            )
-        ).alias("line"),
-    ).select(*key, "line.base", F.lit(0).alias("weekday"), F.lit(0).alias("kind"), "line.value")
-    whole = top.unionByName(lines).unionByName(entries)
-    # one row, and so one file, per sheet; sheets are small
-    lines = F.array_sort(F.collect_list(F.struct("base", "weekday", "kind", "value")))
-    sheets = whole.groupBy(*key).agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
+    top = F.when(F.col("athlete_id") % 3 == 0, "\n").otherwise("Log\n")
+    above = F.when(F.col("kind") == 0, top).when(F.col("kind") == 1, "\n").otherwise("")
+    lines = lines.withColumn("value", F.concat(above, "value"))
+    # one row, and so one file, per sheet
+    whole = F.array_sort(F.collect_list(F.struct("level", "kind", "row", "value")))
+    sheets = lines.groupBy(*key).agg(F.array_join(F.transform(whole, lambda x: x["value"]), "\n").alias("value"))
     sheets.write.partitionBy(*key).text(path)
 
 
