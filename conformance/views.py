@@ -249,7 +249,7 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
         .withColumn("row", F.row_number().over(W.partitionBy(*key, "base", "level").orderBy("entry")))
     )
     dated, opens = F.col("Date").isNotNull(), F.col("row") == 1
-    start = F.coalesce(F.date_format("week", "yyyy-MM-dd"), F.lit(""))
+    start = F.date_format("week", "yyyy-MM-dd")
 
     def cell(when: Column, level: Column, kind: int, row: Column, value: Column) -> Column:
         fields = level.alias("level"), F.lit(kind).alias("kind"), row.alias("row"), value.alias("value")
@@ -257,7 +257,9 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
 
     none = F.lit(0)
     kinds = F.array(
-        cell(opens & (F.col("level") == 1), none, 0, none, start),
+        # entries without a date are left out; their sheet has a line above its first, so no weeks
+        cell(~dated & opens, F.lit(-1), 3, none, F.lit("")),
+        cell(dated & opens & (F.col("level") == 1), none, 0, none, start),
         cell(dated & opens, F.col("level"), 1, none, F.col("Day")),
         cell(dated, F.col("level"), 2, F.col("row"), F.col("entry")),
     )
@@ -311,50 +313,47 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "RPE",
     )
     sheet = [F.col("athlete_id"), F.col("block")]
-    starts = placed.select(*sheet, "base_col", "week_start").distinct()
-    headers = starts.select(
-        *sheet,
-        F.lit(HEADER_ROW).cast("long").alias("row_idx"),
-        F.col("base_col").alias("col_idx"),
-        F.date_format("week_start", "yyyy-MM-dd").alias("value"),
+    # weeks and days are few, and both are taken from the same distinct days
+    days = placed.select(*sheet, "base_col", "week_start", "day_no", "Day").distinct()
+    headers = (
+        days.select(*sheet, "base_col", "week_start")
+        .distinct()
+        .select(
+            *sheet,
+            F.lit(HEADER_ROW).cast("long").alias("row_idx"),
+            F.col("base_col").alias("col_idx"),
+            F.date_format("week_start", "yyyy-MM-dd").alias("value"),
+        )
     )
-    days = placed.select(*sheet, "base_col", "day_no", "Day").distinct()
     top = F.col("day_no") * F.lit(_DAY_ROWS).cast("long")
-    labels = days.select(
-        *sheet,
-        top.alias("row_idx"),
-        # even days have their label in the sixth column of the week
-        (F.col("base_col") + F.when(F.col("day_no") % 2 == 0, 5).otherwise(0)).alias(
-            "col_idx"
-        ),
-        F.col("Day").alias("value"),
-    )
+    # even days have their label in the sixth column of the week
+    label_col = F.col("base_col") + F.when(F.col("day_no") % 2 == 0, 5).otherwise(0)
+    labels = _placed_cells(days, sheet, top, [(label_col, F.col("Day"))])
     fields = ["Exercise", "Sets", "Reps", "Load", "RPE"]
     numbered = placed.withColumn("lane", F.pmod(F.xxhash64(*fields), F.lit(_LANES)))
     line = W.partitionBy("athlete_id", "block", "base_col", "day_no", "lane").orderBy(
         *fields
     )
     row = top + F.row_number().over(line) * _LANES + F.col("lane")
-    text = {
-        OFFSETS[name.lower()]: F.col(name).cast("string") for name in fields
-    }
-    filled = F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(k).alias("offset"), v.alias("value"))
-                for k, v in text.items()
-            ]
-        ),
-        lambda x: x["value"].isNotNull(),
-    )
-    entries = (
-        numbered.withColumn("row_idx", row)
-        .withColumn("_cell", F.explode(filled))
-        .select(
-            *sheet,
-            "row_idx",
-            (F.col("base_col") + F.col("_cell.offset")).alias("col_idx"),
-            F.col("_cell.value").alias("value"),
-        )
-    )
+    text = [
+        (F.col("base_col") + OFFSETS[name.lower()], F.col(name).cast("string"))
+        for name in fields
+    ]
+    entries = _placed_cells(numbered, sheet, row, text)
     return headers.unionByName(labels).unionByName(entries)
+
+
+def _placed_cells(
+    rows: DataFrame, sheet: list[Column], row: Column, cells: list[tuple[Column, Column]]
+) -> DataFrame:
+    """The (column, text) pairs of each row that have a text, as cells below the header row.
+
+    The filter removes nothing: it tells Spark that a reader of header rows needs none of these.
+    """
+    made = F.array(*[F.struct(c.alias("col_idx"), v.alias("value")) for c, v in cells])
+    kept = F.filter(made, lambda x: x["value"].isNotNull())
+    placed = F.transform(
+        kept, lambda x: F.struct(F.col("_row").alias("row_idx"), x["col_idx"].alias("col_idx"), x["value"].alias("value"))
+    )
+    cut = rows.withColumn("_row", row).select(*sheet, F.inline(placed))
+    return cut.filter(F.coalesce("row_idx", F.lit(HEADER_ROW + 1)) > HEADER_ROW)

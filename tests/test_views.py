@@ -6,7 +6,8 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from conformance import views
-from ironlog.operators.normalize import normalize
+from conformance.queries import reconcile_raw
+from ironlog.operators.normalize import normalize, week_columns
 from ironlog.sources import readers
 
 
@@ -43,11 +44,43 @@ def test_sheets_grow_with_their_entries(spark, tmp_path):
     items = [(w, 0, 1, w % 40 + 1, first + dt.timedelta(days=7 * w)) for w in range(200)]
     # a week with three days, one of them with several and with equal entries
     items += [(300, 0, n, 5, first + dt.timedelta(days=d)) for n, d in ((1, 1), (2, 1), (2, 1), (3, 2))]
-    d = _tables(spark, tmp_path / "t", items)
+    # the sheet of another team has an entry without a date and is not read
+    items += [(400, 60, 1, 5, first), (400, 60, 2, 5, None)]
+    d = _tables(spark, tmp_path / "t", items, ((0, 3), (60, 4)))
     views.write_sheets(spark, d, str(tmp_path / "sheets"))
     size = sum(f.stat().st_size for f in Path(tmp_path / "sheets").rglob("part-*"))
     assert size < 50_000
     cells = readers.read_cells(spark, str(tmp_path / "sheets"), folder="Block", athlete="athlete_id")
-    team = views.training_log(spark, d, F.floor(F.col("c_custkey") / 60))
+    team = views.training_log(spark, d, F.floor(F.col("c_custkey") / 60)).filter("athlete_id = 0")
     assert len(_entries(team)) == 204
     assert _entries(normalize(cells)) == _entries(team)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_week_columns_do_not_lay_out_the_entries(spark, tmp_path):
+    """Header rows came from a second layout of all entries: a window and three joins of the order lines."""
+    first = dt.datetime(1996, 1, 3)
+    items = [(w % 5, 0, w, w % 40 + 1, first + dt.timedelta(days=3 * w)) for w in range(60)]
+    items.append((6, 0, 1, 4, None))
+    d = _tables(spark, tmp_path / "t", items)
+    cells = views.cells(spark, d)
+    headers = week_columns(cells)
+    plan = _plan(headers)
+    assert "Window" not in plan and "Generate" not in plan
+    log = views.training_log(spark, d)
+    weeks = log.select(F.date_trunc("week", "Date").cast("date")).distinct().collect()
+    assert sorted(r.week_start for r in headers.collect()) == sorted(w[0] for w in weeks if w[0])
+    # undated entries keep their cells, as rows without a number
+    assert cells.filter("row_idx is null and value = 'Bench Press'").count() == 1
+    assert _entries(normalize(cells)) == _entries(log.filter("Date is not null"))
+
+
+def test_reconciled_names_come_from_one_log(spark, tmp_path):
+    first = dt.datetime(1996, 1, 3)
+    items = [(w, 0, 1, w % 12 + 1, first + dt.timedelta(days=w)) for w in range(24)]
+    d = _tables(spark, tmp_path / "t", items)
+    got = {(r.Exercise, r.found) for r in reconcile_raw(spark, d).collect()}
+    assert got == {("Bench Press", True), ("Paused Bench Press", False)}
