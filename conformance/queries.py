@@ -173,15 +173,20 @@ def corrected_sheets(spark: SparkSession, d: str) -> DataFrame:
 
 def reconcile_raw(spark: SparkSession, d: str) -> DataFrame:
     """The log against its grids, with names that are not there and parts of names."""
-    log = views.training_log(spark, d)
     exercise = F.col("Exercise")
-    absent = log.filter(F.col("Reps") == 3).withColumn(
-        "Exercise", F.concat(F.lit("Paused "), exercise)
+    # the entry itself, some entries under a name that is not there, some under part of one;
+    # made from each entry in place, so that the log is joined once
+    names = F.array(
+        F.struct(exercise.alias("name")),
+        F.when(F.col("Reps") == 3, F.struct(F.concat(F.lit("Paused "), exercise).alias("name"))),
+        F.when(exercise == "Low Bar Squat", F.struct(F.lit("low BAR").alias("name"))),
     )
-    part = log.filter(exercise == "Low Bar Squat").withColumn(
-        "Exercise", F.lit("low BAR")
+    asked = (
+        views.training_log(spark, d)
+        .withColumn("_as", F.explode(F.filter(names, lambda n: n.isNotNull())))
+        .withColumn("Exercise", F.col("_as.name"))
+        .drop("_as")
     )
-    asked = log.unionByName(absent).unionByName(part)
     return comparable(
         reconcile.reconcile_raw(asked, views.cells(spark, d)).select(
             "athlete_id", "block", "Date", "Exercise", "found", "raw_exercise"
