@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from ironlog.llm.common import only
+from ironlog.llm.common import only, slices
 
 #: Encoded pieces that a worker remembers; beyond that, it starts to remember anew.
 MEMORY = 400_000
+#: New pieces that are handed to the tokenizer at a time: what it returns takes many times a piece's own length.
+PIECES = 4096
 #: Finds characters from U+0800 on; none before that are open.
 _BEYOND = re.compile("[\u0800-\U0010ffff]")
 
@@ -87,14 +89,9 @@ class Codec:
 
     def __init__(self, model: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.model, self.pattern = model, pattern
         self.tokenizer = Tokenizer.from_str(model)
-        self.whole = Tokenizer.from_str(model)
-        self.whole.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.Split(Regex(pattern), "isolated"),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
+        self.whole: Tokenizer | None = None  # a second vocabulary in memory, made for the first text that needs it
         self.split = regex.compile(pattern).findall
         self.later: regex.Pattern | None = None
         value = {c: b for b, c in enumerate(byte_characters())}
@@ -111,6 +108,17 @@ class Codec:
             self.later = _later_characters()
         return self.later.search(text) is not None
 
+    def _whole_ids(self, text: str) -> np.ndarray:
+        if self.whole is None:
+            self.whole = Tokenizer.from_str(self.model)
+            self.whole.pre_tokenizer = pre_tokenizers.Sequence(
+                [
+                    pre_tokenizers.Split(Regex(self.pattern), "isolated"),
+                    pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+                ]
+            )
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, each match of the pattern encoded by itself."""
         apart = [self._is_later(t) for t in texts]
@@ -120,11 +128,13 @@ class Codec:
             self.known = {}
             new = set().union(*pieces)
         names = list(new)
-        for piece, found in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-            self.known[piece] = array("i", found.ids).tobytes()
+        for at in range(0, len(names), PIECES):
+            some = names[at : at + PIECES]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[piece] = array("i", found.ids).tobytes()
         known = self.known.__getitem__
         return [
-            np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
+            self._whole_ids(t)
             if x
             else np.frombuffer(b"".join(map(known, p)), np.int32)
             for t, x, p in zip(texts, apart, pieces, strict=True)
@@ -171,12 +181,6 @@ def _clean(text: str | None) -> str:
     return text or ""
 
 
-def _batches(rows: Iterator[pa.RecordBatch], at_most: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for a in range(0, batch.num_rows, at_most):
-            yield batch.slice(a, at_most)
-
-
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_name: str = "doc_id") -> DataFrame:
     """(doc_id, ids array<int>, starts array<int>, ends array<int>): tokens and the characters they touch.
 
@@ -187,7 +191,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_name: str =
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value, pattern)
-        for batch in _batches(rows, 64):
+        for batch in slices(rows, 64):
             ids = codec.encode([_clean(t) for t in batch.column(1).to_pylist()])
             spans = [codec.offsets(x) for x in ids]
             kind = pa.list_(pa.int32())
@@ -209,7 +213,7 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_name: str =
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value, pattern)
-        for batch in _batches(rows, 64):
+        for batch in slices(rows, 64):
             data = [codec.decode(x or ()) for x in batch.column(1).to_pylist()]
             text = [d.decode("utf-8", "replace") for d in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(text, pa.string())], [id_name, "data", "text"])
@@ -238,7 +242,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool =
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value, pattern)
         names = [str(i) for i in range(len(codec.bytes_of))].__getitem__
-        for batch in _batches(rows):
+        for batch in slices(rows):
             counts, marks, texts = [], [], []
             found = codec.encode([_clean(t) for t in batch.column(1).to_pylist()])
             for ids in found:

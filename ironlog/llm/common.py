@@ -6,7 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,15 @@ def remainder(doc_id: Column, m: int) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; whatever else the table holds is left behind before any work."""
     return df.select(*(df[n] for n in names))
+
+
+#: Bytes of a batch that Python works on at a time: objects made from texts take many times the texts' own length.
+SLICE = 1 << 19
+
+
+def slices(batches: Iterator[pa.RecordBatch], at_most: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``at_most`` rows and about SLICE bytes; a larger row is never cut."""
+    for batch in batches:
+        step = min(at_most, max(1, batch.num_rows * SLICE // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ironlog.llm.common import SPACE, only, stored
+from ironlog.llm.common import SPACE, only, slices, stored
 from ironlog.llm.running import with_start
 from ironlog.llm.words import mix
 
@@ -170,22 +172,19 @@ def mixture(docs: DataFrame, **settings: float) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "blocks")
 
 
-def _cut(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
-    import re
-
+def _cut(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     word = re.compile(WORD)
-    for rows in batches:
+    for rows in slices(batches):
         texts, keep = [], []
-        for i, (text, parts) in enumerate(zip(rows["text"], rows["__parts"], strict=True)):
+        for i, (text, parts) in enumerate(zip(rows.column("text").to_pylist(), rows.column("__parts").to_pylist(), strict=True)):
             at = [m.span() for m in word.finditer(text)]
             for p in parts:
                 keep.append(i)
                 texts.append(text[at[p["word"]][0] : at[p["word"] + p["words"] - 1][1]])
-        out = rows.iloc[keep].copy()
-        out["text"] = texts
-        if "n_chars" in columns:
-            out["n_chars"] = [len(t) for t in texts]
-        yield out[columns]
+        new = {"text": texts, "n_chars": list(map(len, texts))}
+        kept = pa.array(keep, pa.int64())
+        of = {name: rows.schema.field(name).type for name in columns}
+        yield pa.RecordBatch.from_arrays([pa.array(new[c], of[c]) if c in new else rows.column(c).take(kept) for c in columns], columns)
 
 
 def mixed(docs: DataFrame, **settings: float) -> DataFrame:
@@ -206,4 +205,4 @@ def mixed(docs: DataFrame, **settings: float) -> DataFrame:
     part = part.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__m"), "__parts")
     both = marked.join(part, marked["doc_id"].eqNullSafe(part["__doc"]) & (marked["__mark"] == part["__m"]))
     columns = docs.columns
-    return both.select(*columns, "__parts").mapInPandas(lambda it: _cut(it, columns), docs.schema)
+    return both.select(*columns, "__parts").mapInArrow(lambda it: _cut(it, columns), docs.schema)

@@ -9,9 +9,10 @@ from collections import defaultdict
 import cases
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ironlog.llm import mixture, quality, sharding, vector_dups, warc
+from ironlog.llm import common, mixture, quality, sharding, vector_dups, warc
 from ironlog.llm.common import remainder
 
 
@@ -317,3 +318,16 @@ def test_archives_with_damaged_first_bytes(spark, tmp_path):
     got = warc.read_archives(spark, str(tmp_path))
     assert [r[0] for r in cases.rows(got.where("fault IS NULL"), "record_id")] == [f"<urn:ironlog:page:{i}>" for i in (0, 1, 2, 3, 5)]
     assert got.where("fault IS NOT NULL").count() == 2
+
+
+def test_runs_are_cut_in_bounded_batches():
+    text = " ".join(["word"] * 800)
+    parts = [{"epoch": 0, "word": 0, "words": 800}, {"epoch": 1, "word": 799, "words": 1}]
+    kind = pa.list_(pa.struct([("epoch", pa.int64()), ("word", pa.int64()), ("words", pa.int64())]))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(1000), pa.int64()), pa.array([text] * 1000), pa.array([9] * 1000, pa.int32()), pa.array([parts] * 1000, kind)],
+        ["doc_id", "text", "n_chars", "__parts"],
+    )
+    got = list(mixture._cut(iter([rows]), ["doc_id", "text", "n_chars"]))
+    assert max(b.nbytes for b in got) < 1.2 * common.SLICE
+    assert [r for b in got for r in b.to_pylist()] == [{"doc_id": i, "text": t, "n_chars": len(t)} for i in range(1000) for t in (text, "word")]

@@ -14,7 +14,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ironlog.llm import bpe, ngram_lm
+from ironlog.llm import bpe, common, ngram_lm
 from ironlog.llm.elias_fano import Sequence, Trie, temporary
 from ironlog.llm.html_text import extract_pages, main_text
 from ironlog.llm.words import shingle_hashes, word_hashes
@@ -216,3 +216,28 @@ def test_line_blocks_decide_where_articles_hold_little():
     links = "".join(f"<p><a href=/{i}>link {i}</a></p>" for i in range(9))
     lines = _paragraphs(5, 6)
     assert main_text(f"<body><article>{links}<p>Tip.</p></article><div>{_html(lines)}</div></body>") == "\n".join(lines)
+
+
+def test_encoder_takes_few_pieces_and_one_vocabulary_at_a_time():
+    codec = bpe.Codec(bpe.tokenizer_json(RANKS), P.PATTERN)
+    text = " ".join(f"{i:x}q{i}" for i in range(3 * bpe.PIECES))
+    asked, inner = [], codec.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, names, **settings):
+            asked.append(len(names))
+            return inner.encode_batch_fast(names, **settings)
+
+    codec.tokenizer = Counted()
+    (ids,) = codec.encode([text])
+    assert codec.decode(ids.tolist()) == text.encode()
+    assert len(asked) > 3 and max(asked) <= bpe.PIECES
+    assert codec.whole is None
+
+
+def test_slices_are_bounded_and_whole():
+    texts = ["x" * 2000] * 3000 + ["y" * (3 * common.SLICE), None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = list(common.slices(iter([batch, batch.slice(0, 0)])))
+    assert [t for b in got for t in b.column(0).to_pylist()] == texts
+    assert max(b.nbytes for b in got[:-1]) <= 1.1 * common.SLICE
