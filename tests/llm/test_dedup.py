@@ -103,6 +103,23 @@ def test_components_of_a_long_chain_a_star_and_loops(spark):
     assert got == {**dict.fromkeys(range(101), 0), **dict.fromkeys(range(500, 551), 500), 899: 899, 900: 899}
 
 
+@pytest.mark.parametrize("block", [7, 64])
+def test_components_over_several_blocks(spark, block):
+    rng = random.Random(block)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(90)]
+    rng.shuffle(edges)
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "x long, y long").repartition(5), "x", "y", block).collect()]
+    ends = {n for a, b in edges if a != b for n in (a, b)}
+    root = cases.roots(ends, [e for e in edges if e[0] != e[1]])
+    assert sorted(got) == sorted((n, root[n]) for n in ends)
+
+
+def test_components_of_one_block_take_no_shuffled_round(spark, monkeypatch):
+    monkeypatch.setattr("ironlog.llm.components._contract", lambda *_: pytest.fail("a round over one block"))
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)], "x string, y string")
+    assert dict(cases.rows(components(edges, "x", "y"))) == {str(i): "0" for i in range(41)}
+
+
 def _copies(n, most, seed):
     """Copies of one text that is not among them, each with one to ``most`` changed words."""
     rng = random.Random(seed)
