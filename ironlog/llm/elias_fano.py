@@ -9,6 +9,8 @@ import numpy as np
 
 _U = np.uint64
 _ONE = _U(1)
+#: Values whose low bits are spread out at a time; a multiple of 8, so that their bits fill whole bytes.
+SPREAD = 1 << 13
 
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -45,13 +47,15 @@ class Sequence:
         n = len(values)
         top = int(values[-1]) if n else 0
         shift = max(0, (top // max(n, 1)).bit_length() - 1) if n else 0
-        bits = ((values[:, None] >> np.arange(shift, dtype=_U)) & _ONE).astype(np.uint8).ravel()
-        low = np.zeros(((n * shift + 63) // 64 + 1) * 64, np.uint8)
-        low[: len(bits)] = bits
+        low = np.zeros(((n * shift + 63) // 64 + 1) * 8, np.uint8)
+        for a in range(0, n if shift else 0, SPREAD):
+            bits = (values[a : a + SPREAD, None] >> np.arange(shift, dtype=_U)) & _ONE
+            part = np.packbits(bits.astype(np.uint8), bitorder="little")
+            low[a * shift // 8 : a * shift // 8 + len(part)] = part
         places = (values >> _U(shift)).astype(np.int64) + np.arange(n)
         high = np.zeros(((int(places[-1]) + 2 if n else 2) + 63) // 64 * 64 + 64, np.uint8)
         high[places] = 1
-        low, high = (np.packbits(x, bitorder="little").view(_U) for x in (low, high))
+        low, high = low.view(_U), np.packbits(high, bitorder="little").view(_U)
         ones = np.cumsum(np.concatenate([[0], np.bitwise_count(high)]))[:-1].astype(_U)
         zeros = np.arange(len(high), dtype=_U) * _U(64) - ones
         return cls(n, shift, np.concatenate([low, high, ones, zeros]))
@@ -128,8 +132,8 @@ class Trie:
         codes = np.zeros(-(-len(self.codes) // 8) * 8, np.uint8)
         codes[: len(self.codes)] = self.codes
         for p in parts:
-            file.write(p.tobytes())
-        file.write(codes.tobytes())
+            file.write(p.data)
+        file.write(codes.data)
         file.flush()
         size = sum(map(len, parts)) + len(codes) // 8
         words = np.memmap(file, _U, "r", shape=(size,)) if size else np.zeros(0, _U)

@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import cases
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -110,6 +112,43 @@ def test_trie_in_a_mapped_file():
         assert trie.look_up(u, w).tolist() == [known.get(x, 0) for x in zip(u, w, strict=True)]
 
 
+def test_low_bits_are_packed_in_little_memory():
+    n = 200_000
+    values = np.cumsum(np.random.default_rng(3).integers(0, 1 << 18, n))
+    tracemalloc.start()
+    s = Sequence.of(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert s.shift >= 16
+    assert (s.get(np.arange(n)) == values.astype(np.uint64)).all()
+    assert peak < 60 * n  # spread out at once, the low bits took 16 bytes each
+
+
+def test_a_worker_of_the_language_model_holds_one_block_at_a_time(messy):
+    plan = ngram_lm.score_documents(messy)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert "collect_list" not in plan  # nor are a block's answers gathered in one row
+
+
+def test_a_block_gets_only_the_probabilities_of_its_own_bigrams():
+    def row(block, followers, times):
+        one, n = np.array([5], np.int64), len(followers)
+        packed = (ngram_lm._pack(x) for x in (np.array([1000]), np.array([n], np.int32)))
+        return (
+            0, block, n, 1, one.tobytes(), *packed, False, np.array(followers, np.uint32).tobytes(),
+            ngram_lm._pack(np.array(times, np.int32)), ngram_lm._pack(np.full(n, 60, np.uint8)),
+        )
+
+    sent = [row(1, list(range(100)), list(range(1, 101))), row(2, [7, 300], [0, 0])]
+    names = [x.split()[0] for x in ngram_lm._PAIRS.split(", ")]
+    got = ngram_lm._answer((0,), pd.DataFrame(sent, columns=names)).set_index("block")
+    codes = [ngram_lm._unpack(got["codes"][b], np.uint8, n) for b, n in ((1, 100), (2, 2))]
+    books = [np.frombuffer(got["book"][b]) for b in (1, 2)]
+    assert [len(x) for x in books] == [100, 2]
+    assert books[0][codes[0]] == pytest.approx(np.arange(1, 101) / 1001)
+    assert books[1][codes[1]] == pytest.approx([8 / 1001, 0])
+
+
 @pytest.mark.parametrize("size", [2_000_000, 3_000])
 def test_language_model(messy, monkeypatch, size):
     monkeypatch.setattr(ngram_lm, "BLOCK", size)
