@@ -237,17 +237,19 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
         F.lit('"'), "Exercise", F.lit('"'), commas(F.lit(OFFSETS["load"])),
         text("Load"), F.lit(","), text("Sets"), F.lit(","), text("Reps"), F.lit(","), text("RPE"),
     )
-    inner = F.lit(OFFSETS["rpe"])
-    by_week = W.partitionBy(*key).orderBy(F.asc_nulls_last("week"))
-    # all that follows keeps this distribution; sheets are small
+    whole_week = [*key, "week"]
+    # all that follows keeps this distribution, and the first order serves all three ranks; sheets are small
     placed = (
         log.select(*key, "Date", "Day", entry.alias("entry"))
         .withColumn("week", F.date_trunc("week", F.col("Date")).cast("date"))
         .repartition(*key)
-        .withColumn("base", ((F.dense_rank().over(by_week) - 1) * wide).cast("int"))
-        .withColumn("level", F.dense_rank().over(W.partitionBy(*key, "base").orderBy("Date")))
-        .withColumn("row", F.row_number().over(W.partitionBy(*key, "base", "level").orderBy("entry")))
+        .withColumn("row", F.row_number().over(W.partitionBy(*whole_week, "Date").orderBy("entry")))
+        .withColumn("level", F.dense_rank().over(W.partitionBy(*whole_week).orderBy("Date")))
     )
+    by_week = W.partitionBy(*key).orderBy("week")
+    # entries without a date come first and take no columns
+    undated = F.max(F.col("week").isNull().cast("int")).over(by_week)
+    placed = placed.withColumn("base", ((F.dense_rank().over(by_week) - 1 - undated) * wide).cast("int"))
     dated, opens = F.col("Date").isNotNull(), F.col("row") == 1
     start = F.date_format("week", "yyyy-MM-dd")
 
@@ -263,24 +265,30 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
         cell(dated & opens, F.col("level"), 1, none, F.col("Day")),
         cell(dated, F.col("level"), 2, F.col("row"), F.col("entry")),
     )
-    cut = placed.select(*key, "base", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("cell"))
+    cut = placed.select(*key, "base", F.explode(kinds).alias("cell")).filter(F.col("cell").isNotNull())
     cut = cut.select(*key, "base", "cell.*")
-    line = [*key, "level", "kind", "row"]
-    # columns that the cells before it in the line have taken
-    taken = F.lag("base").over(W.partitionBy(*line).orderBy("base")) + F.when(F.col("kind") == 2, inner).otherwise(0)
+    # the columns that a cell takes besides its own
+    inner = F.when(F.col("kind") == 2, OFFSETS["rpe"]).otherwise(0)
+    parts = F.col("parts")
+
+    def behind(part: Column, i: Column) -> Column:
+        taken = F.when(i > 0, F.try_element_at(parts, i)["base"] + inner).otherwise(0)
+        return F.concat(commas(part["base"] - taken), part["value"])
+
     lines = (
-        cut.withColumn("value", F.concat(commas(F.col("base") - F.coalesce(taken, F.lit(0))), "value"))
-        .groupBy(*line)
-        .agg(F.array_sort(F.collect_list(F.struct("base", "value"))).alias("parts"))
-        .withColumn("value", F.array_join(F.transform("parts", lambda p: p["value"]), ""))
+        cut.groupBy(*key, "level", "kind", "row")
+        .agg(F.sort_array(F.collect_list(F.struct("base", "value"))).alias("parts"))
+        .withColumn("value", F.array_join(F.transform("parts", behind), ""))
     )
     top = F.when(F.col("athlete_id") % 3 == 0, "\n").otherwise("Log\n")
     above = F.when(F.col("kind") == 0, top).when(F.col("kind") == 1, "\n").otherwise("")
     lines = lines.withColumn("value", F.concat(above, "value"))
     # one row, and so one file, per sheet
-    whole = F.array_sort(F.collect_list(F.struct("level", "kind", "row", "value")))
-    sheets = lines.groupBy(*key).agg(F.array_join(F.transform(whole, lambda x: x["value"]), "\n").alias("value"))
-    sheets.write.partitionBy(*key).text(path)
+    whole = F.sort_array(F.collect_list(F.struct("level", "kind", "row", "value")))
+    sheets = lines.groupBy(*key).agg(F.array_join(whole["value"], "\n").alias("value"))
+    # tasks put their files in place themselves, not the driver one after another; no reader starts before the last
+    writer = sheets.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(*key).text(path)
 
 
 # Rows of one training day that are numbered by one task.

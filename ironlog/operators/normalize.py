@@ -4,8 +4,8 @@ Input is the exploded grid: one row per non-empty cell.  All sheets of all
 athletes are processed together.  A sheet holds training weeks side by side;
 every cell of row 1 that is a date starts a week of twelve columns.
 
-Scale notes.  Cells meet their week through an equi-join on (sheet, column), so
-no range join is needed.  Labels are carried down in two steps, inside fixed
+Scale notes.  Cells meet their week through an equi-join on (sheet, stretch of
+twelve columns), so no range join is needed.  Labels are carried down in two steps, inside fixed
 chunks of rows and then across chunks, so that not even one huge sheet puts a
 whole column through a single task.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,15 +55,22 @@ def week_columns(cells: DataFrame, sheet: Sequence[str] = SHEET) -> DataFrame:
 def week_cells(cells: DataFrame, sheet: Sequence[str] = SHEET) -> DataFrame:
     """Data cells with the week(s) whose twelve columns cover them.
 
-    Each week lists its columns, which turns "column between base and base+11"
-    into equality.
+    Columns are taken in stretches of twelve.  Each week lists the one or two stretches that
+    it touches, which turns "column between base and base+11" into equality and a check.
     """
-    columns = week_columns(cells, sheet).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(WEEK_WIDTH - 1))).alias("offset")
+    def stretch(column: Column) -> Column:
+        return F.floor(column / WEEK_WIDTH)
+
+    base, column = F.col("base_col"), F.col("col_idx")
+    touched = F.array_distinct(F.array(stretch(base), stretch(base + (WEEK_WIDTH - 1))))
+    weeks = week_columns(cells, sheet).select("*", F.explode(touched).alias("_stretch"))
+    data = cells.filter(F.col("row_idx") >= FIRST_DATA_ROW).withColumn("_stretch", stretch(column))
+    return (
+        data.join(weeks, [*sheet, "_stretch"])
+        .withColumn("offset", column - base)
+        .filter(F.col("offset").between(0, WEEK_WIDTH - 1))
+        .drop("_stretch")
     )
-    columns = columns.withColumn("col_idx", F.col("base_col") + F.col("offset"))
-    data = cells.filter(F.col("row_idx") >= FIRST_DATA_ROW)
-    return data.join(columns, [*sheet, "col_idx"])
 
 
 def _week(sheet: Sequence[str]) -> list[str]:

@@ -65,6 +65,12 @@ _OPENS = (
 # Up to the end of the field in which a quote, open since an earlier line, closes.
 _CLOSES = r'\A[^"]*+(?:""[^"]*+)*+"[^,\r]*+'
 
+# A field, and a row of fields without its line break.
+_ANY_FIELD = r'(?>"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+)'
+_ROW = rf"({_ANY_FIELD}(?:,++{_ANY_FIELD})*+)(?:\r\n|\n|\r|\z)"
+# A field that opens a quote and has a comma before it closes.
+_QUOTED_COMMA = r'(?:\A|,)"[^",]*+(?:""[^",]*+)*+,'
+
 _SPLIT = ("_file", "_start")
 
 #: Bytes up to which a file is read as one record.
@@ -175,6 +181,27 @@ def _whole_records(files: DataFrame) -> DataFrame:
     return files.select("_file", "_start", F.lit(1).alias("_line"), "athlete_id", "block", text.alias("_text"))
 
 
+def _sheet_cells(files: DataFrame) -> DataFrame:
+    """Cells of sheets that are a file each: a file is cut to rows and these to fields, in place."""
+    # behind the last row an empty one is found, which has no cells
+    rows = F.regexp_extract_all("_text", F.lit(_ROW), F.lit(1))
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), "_row"), F.lit(f",({_ANY_FIELD})"), F.lit(1))
+    fields = F.when(F.col("_row").rlike(_QUOTED_COMMA), quoted).otherwise(F.split("_row", ","))
+    sheet = ["athlete_id", "block"]
+    lines = files.select(*sheet, F.posexplode(rows).alias("_at", "_row"))
+    lines = lines.select(*sheet, F.col("_at").cast("long").alias("row_idx"), "_row")
+    # exploded as they are made: of a named array Spark would infer filters and so make it three times
+    cut = lines.select(*sheet, "row_idx", F.posexplode(fields).alias("col_idx", "_value"))
+    cut = cut.filter(~F.col("_value").isin("", '""'))
+    return cut.select(*sheet, "row_idx", "col_idx", _unquoted(F.col("_value")).alias("value"))
+
+
+def _unquoted(field: Column) -> Column:
+    quoted = field.startswith('"') & field.endswith('"') & (F.length(field) > 1)
+    inner = F.substring(field, F.lit(2), F.length(field) - 2)
+    return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field)
+
+
 def _row_offsets(splits: DataFrame) -> DataFrame:
     """(_file, _start, _offset): the sheet's rows before each split.
 
@@ -216,21 +243,26 @@ def read_cells(
     Quoted fields may hold commas, quotes and line breaks.  A quote that is never closed is text.
     Where no file is larger than ``whole_up_to`` bytes, a file is one record; otherwise a file is
     read by as many tasks as it has splits, quoted fields across their ends included, and only
-    a single row of the sheet must fit in a task.  The cells are the same either way.  The
-    sizes are looked up when the reader is called, by a job that opens no file.
+    a single row of the sheet must fit in a task.  Where besides no sheet has several files,
+    every file is cut in place, without a shuffle.  The cells are the same either way.  Sizes
+    and sheets of the files are looked up when the reader is called, by a job that opens no file.
     """
     owner = F.lit(athlete) if isinstance(athlete, int) else F.col(athlete)
-    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    of = [owner.cast("int").alias("athlete_id"), _block_name(folder).alias("block")]
+    files = spark.read.format("binaryFile").load(path).select(*of, "length").groupBy("athlete_id", "block")
+    files = files.agg(F.max("length").alias("largest"), F.count(F.lit(1)).alias("files"))
+    largest, most = files.agg(F.max("largest"), F.max("files")).first()
     whole = largest is None or largest <= whole_up_to
     read = spark.read.text(path, wholetext=True) if whole else spark.read.text(path, lineSep="\n")
     read = read.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
-        owner.cast("int").alias("athlete_id"),
-        _block_name(folder).alias("block"),
+        *of,
         "value",
     )
+    if whole and most is not None and most == 1:
+        return _sheet_cells(_whole_records(read))
     fields = F.regexp_extract_all("_text", F.lit(_FIELD), F.lit(0))
     ended = F.filter("_fields", lambda f: f.rlike(r"[\r\n]\z"))
     records = (
@@ -271,15 +303,12 @@ def read_cells(
         # commas up to the end of the line before
         .withColumn("_base", F.max(F.when(F.col("_ends"), F.col("_passed"))).over(before))
     )
-    quoted = F.col("_value").rlike(r'(?s)\A".*"\z')
-    inner = F.substring("_value", F.lit(2), F.length("_value") - 2)
-    plain = F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.col("_value"))
     return cut.select(
         "athlete_id",
         "block",
         F.col("row_idx").cast("long").alias("row_idx"),
         (F.col("_passed") - F.coalesce("_base", F.lit(0))).cast("int").alias("col_idx"),
-        F.nullif(plain, F.lit("")).alias("value"),
+        F.nullif(_unquoted(F.col("_value")), F.lit("")).alias("value"),
     ).filter(F.col("value").isNotNull())
 
 

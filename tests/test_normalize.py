@@ -158,3 +158,23 @@ def test_reconcile_against_brute_force(spark, cells):
 
     for r in reconcile_raw(log, cells).collect():
         assert r.found == expected(r.Date, r.Exercise), r
+
+
+def test_weeks_meet_their_cells_by_stretches_of_columns(spark):
+    """Every week was listed once for each of its twelve columns."""
+    bases = (-13, 0, 5, 12, 30, 47)
+    data = [(1, "A", 1, b, f"2024-01-{i + 1:02d}") for i, b in enumerate(bases)]
+    data += [(1, "A", 2, c, f"v{c}") for c in range(-20, 70)] + [(1, "A", 3, None, "nowhere")]
+    grid = spark.createDataFrame(data, schemas.CELLS)
+    joined = nz.week_cells(grid)
+    got = sorted((r.base_col, r.col_idx, r.offset, r.value) for r in joined.collect())
+    assert got == sorted((b, c, c - b, f"v{c}") for b in bases for c in range(b, b + 12) if -20 <= c < 70)
+    weeks = [n for n in _nodes(joined._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Generate"]
+    assert len(weeks) == 1 and "array_distinct" in weeks[0].toString()
+
+
+def _nodes(plan):
+    found = [plan]
+    for i in range(plan.children().size()):
+        found += _nodes(plan.children().apply(i))
+    return found

@@ -236,3 +236,40 @@ def test_a_sheet_in_many_splits(spark, tmp_path, split, whole):
             spark.conf.set(k, v)
     for name, text in sheets.items():
         assert got[name] == _plain_cells(text.removeprefix("\ufeff")), name
+
+
+def _plain_cells(text):
+    """Cells of a CSV text, field by field."""
+    field = re.compile(r'"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+')
+    at, row, column, found = 0, 0, 0, set()
+    while at < len(text):
+        value = field.match(text, at).group()
+        at += len(value)
+        if re.fullmatch('".*"', value, re.DOTALL):
+            value = value[1:-1].replace('""', '"')
+        if value:
+            found.add((row, column, value))
+        column += 1
+        if at < len(text):
+            end = re.compile(r"\r\n|\n|\r|,").match(text, at).group()
+            at += len(end)
+            if end != ",":
+                row, column = row + 1, 0
+    return found
+
+
+def test_sheets_of_one_file_are_cut_in_place(spark, tmp_path):
+    """A file per sheet was parsed four times, and its fields were sorted by file to count their columns."""
+    r = random.Random(5)
+    pieces = [",", ",", ",,", "\n", "\r\n", '"', '""', '"a,b"', '"c\nd"', "x", '"y"', '"', ' z"', '","']
+    texts = {f"B{i}": "".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for i in range(60)}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    cells = readers.read_cells(spark, str(tmp_path))
+    got = {name: set() for name in texts}
+    for c in cells.collect():
+        got[c.block].add((c.row_idx, c.col_idx, c.value))
+    for name, text in texts.items():
+        assert got[name] == _plain_cells(text), text
+    plan = spark._jvm.PythonSQLUtils.explainString(cells._jdf.queryExecution(), "simple")
+    assert not re.search("Exchange|Window|Sort", plan)
