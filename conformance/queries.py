@@ -147,7 +147,8 @@ def incremental(spark: SparkSession, d: str) -> DataFrame:
     """Two deliveries of grids, each ingested by its own run."""
     base = views.scratch(spark, "incremental")
     drop, out = f"{base}/drop", f"{base}/out"
-    cells = views.cells(spark, d)
+    # laid out once: both deliveries come from the entries as they were placed
+    cells = views.cells_of(views.kept_entries(spark, d))
     for early in (True, False):
         part = cells.filter((F.col("block") < "Block 1999") == F.lit(early))
         part.write.mode("append").parquet(drop)

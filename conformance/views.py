@@ -295,6 +295,7 @@ def write_sheets(spark: SparkSession, sf_dir: str, path: str) -> None:
 _LANES = 64
 # Sheet rows reserved per training day.
 _DAY_ROWS = 10**12
+_FIELDS = ["Exercise", "Sets", "Reps", "Load", "RPE"]
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,25 +305,56 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     per day.  Entries of a day are spread over numbering lanes, which gives
     unique rows without a window over a whole day.
     """
-    log = training_log(spark, sf_dir)
+    entries = _entries(training_log(spark, sf_dir))
+    # weeks and days are few, and both are taken from the same distinct days
+    return cells_of(_placed(_numbered(entries)), _days(_placed(entries)))
+
+
+def kept_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries with their places, written once to be read more than once."""
+    path = scratch(spark, "entries")
+    _numbered(_entries(training_log(spark, sf_dir))).write.parquet(path)
+    return _placed(spark.read.parquet(path))
+
+
+def _entries(log: DataFrame) -> DataFrame:
+    return log.select("athlete_id", F.col("Block").alias("block"), "Date", "Day", *_FIELDS)
+
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """Entries with their row in the sheet, ``_row``; what follows from the date is left for later."""
+    numbered = entries.withColumn("lane", F.pmod(F.xxhash64(*_FIELDS), F.lit(_LANES)))
+    line = W.partitionBy("athlete_id", "block", "Date", "lane").orderBy(*_FIELDS)
+    row = _top(_day_no()) + F.row_number().over(line) * _LANES + F.col("lane")
+    return numbered.withColumn("_row", row).drop("lane")
+
+
+def _day_no() -> Column:
+    return F.weekday("Date") + 1
+
+
+def _top(day_no: Column) -> Column:
+    """Row of the label of a training day."""
+    return day_no * F.lit(_DAY_ROWS).cast("long")
+
+
+def _placed(entries: DataFrame) -> DataFrame:
+    """Entries with the week, first column and day that they belong to."""
     week = F.date_trunc("week", F.col("Date")).cast("date")
     weeks = F.floor(F.datediff(week, F.lit(FIRST_MONDAY).cast("date")) / 7)
-    placed = log.select(
-        "athlete_id",
-        F.col("Block").alias("block"),
-        week.alias("week_start"),
-        (weeks * WEEK_WIDTH).cast("int").alias("base_col"),
-        (F.weekday("Date") + 1).alias("day_no"),
-        "Day",
-        "Exercise",
-        "Sets",
-        "Reps",
-        "Load",
-        "RPE",
+    return entries.withColumns(
+        {"week_start": week, "base_col": (weeks * WEEK_WIDTH).cast("int"), "day_no": _day_no()}
     )
+
+
+def _days(placed: DataFrame) -> DataFrame:
+    return placed.select("athlete_id", "block", "base_col", "week_start", "day_no", "Day").distinct()
+
+
+def cells_of(entries: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Cells of entries that have their places; ``days`` are their distinct days."""
+    days = _days(entries) if days is None else days
     sheet = [F.col("athlete_id"), F.col("block")]
-    # weeks and days are few, and both are taken from the same distinct days
-    days = placed.select(*sheet, "base_col", "week_start", "day_no", "Day").distinct()
     headers = (
         days.select(*sheet, "base_col", "week_start")
         .distinct()
@@ -333,22 +365,15 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_format("week_start", "yyyy-MM-dd").alias("value"),
         )
     )
-    top = F.col("day_no") * F.lit(_DAY_ROWS).cast("long")
     # even days have their label in the sixth column of the week
     label_col = F.col("base_col") + F.when(F.col("day_no") % 2 == 0, 5).otherwise(0)
-    labels = _placed_cells(days, sheet, top, [(label_col, F.col("Day"))])
-    fields = ["Exercise", "Sets", "Reps", "Load", "RPE"]
-    numbered = placed.withColumn("lane", F.pmod(F.xxhash64(*fields), F.lit(_LANES)))
-    line = W.partitionBy("athlete_id", "block", "base_col", "day_no", "lane").orderBy(
-        *fields
-    )
-    row = top + F.row_number().over(line) * _LANES + F.col("lane")
+    labels = _placed_cells(days, sheet, _top(F.col("day_no")), [(label_col, F.col("Day"))])
     text = [
         (F.col("base_col") + OFFSETS[name.lower()], F.col(name).cast("string"))
-        for name in fields
+        for name in _FIELDS
     ]
-    entries = _placed_cells(numbered, sheet, row, text)
-    return headers.unionByName(labels).unionByName(entries)
+    rows = _placed_cells(entries, sheet, F.col("_row"), text)
+    return headers.unionByName(labels).unionByName(rows)
 
 
 def _placed_cells(
@@ -356,12 +381,9 @@ def _placed_cells(
 ) -> DataFrame:
     """The (column, text) pairs of each row that have a text, as cells below the header row.
 
-    The filter removes nothing: it tells Spark that a reader of header rows needs none of these.
+    The last filter removes nothing: it tells Spark that a reader of header rows needs none of these.
     """
-    made = F.array(*[F.struct(c.alias("col_idx"), v.alias("value")) for c, v in cells])
-    kept = F.filter(made, lambda x: x["value"].isNotNull())
-    placed = F.transform(
-        kept, lambda x: F.struct(F.col("_row").alias("row_idx"), x["col_idx"].alias("col_idx"), x["value"].alias("value"))
-    )
-    cut = rows.withColumn("_row", row).select(*sheet, F.inline(placed))
+    place = F.col("_place")
+    made = F.array(*[F.struct(place.alias("row_idx"), c.alias("col_idx"), v.alias("value")) for c, v in cells])
+    cut = rows.withColumn("_place", row).select(*sheet, F.inline(made)).filter(F.col("value").isNotNull())
     return cut.filter(F.coalesce("row_idx", F.lit(HEADER_ROW + 1)) > HEADER_ROW)

@@ -84,3 +84,17 @@ def test_reconciled_names_come_from_one_log(spark, tmp_path):
     d = _tables(spark, tmp_path / "t", items)
     got = {(r.Exercise, r.found) for r in reconcile_raw(spark, d).collect()}
     assert got == {("Bench Press", True), ("Paused Bench Press", False)}
+
+
+def test_kept_entries_give_the_same_cells_without_a_join(spark, tmp_path):
+    """Each delivery of grids joined and numbered all order lines again."""
+    first = dt.datetime(1996, 1, 3)
+    items = [(w % 7, 0, w, w % 40 + 1, first + dt.timedelta(days=5 * w)) for w in range(40)]
+    # entries that are equal, and one without a date
+    items += [(1, 0, 1, 4, first), (1, 0, 1, 4, first), (2, 0, 3, 4, None)]
+    d = _tables(spark, tmp_path / "t", items)
+    kept = views.cells_of(views.kept_entries(spark, d))
+    assert kept.schema == views.cells(spark, d).schema
+    assert sorted(map(str, kept.collect())) == sorted(map(str, views.cells(spark, d).collect()))
+    plan = _plan(kept)
+    assert "Join" not in plan and "Window" not in plan
