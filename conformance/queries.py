@@ -176,20 +176,21 @@ def reconcile_raw(spark: SparkSession, d: str) -> DataFrame:
     """The log against its grids, with names that are not there and parts of names."""
     exercise = F.col("Exercise")
     # the entry itself, some entries under a name that is not there, some under part of one;
-    # made from each entry in place, so that the log is joined once
+    # made from each entry in place, so that the log is joined once; the grids come from the same entries
     names = F.array(
         F.struct(exercise.alias("name")),
         F.when(F.col("Reps") == 3, F.struct(F.concat(F.lit("Paused "), exercise).alias("name"))),
         F.when(exercise == "Low Bar Squat", F.struct(F.lit("low BAR").alias("name"))),
     )
+    entries = views.kept_entries(spark, d)
     asked = (
-        views.training_log(spark, d)
+        entries.withColumnRenamed("block", "Block")
         .withColumn("_as", F.explode(F.filter(names, lambda n: n.isNotNull())))
         .withColumn("Exercise", F.col("_as.name"))
         .drop("_as")
     )
     return comparable(
-        reconcile.reconcile_raw(asked, views.cells(spark, d)).select(
+        reconcile.reconcile_raw(asked, views.cells_of(entries)).select(
             "athlete_id", "block", "Date", "Exercise", "found", "raw_exercise"
         )
     )

@@ -79,10 +79,15 @@ def _week(sheet: Sequence[str]) -> list[str]:
 
 
 def grid_rows(
-    cells: DataFrame, sheet: Sequence[str] = SHEET, chunk_rows: int = CHUNK_ROWS
+    cells: DataFrame,
+    sheet: Sequence[str] = SHEET,
+    chunk_rows: int = CHUNK_ROWS,
+    more: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per sheet row and week: its label (if any) and entry fields.
 
+    ``more`` are further aggregates over the row's cells (``offset``, ``value``).
+
     Distributed by (week of a sheet, chunk of rows) once; the grouping here and
     the label fill afterwards both use that distribution and its sort order.
     """
@@ -106,6 +111,7 @@ def grid_rows(
                 F.max(F.when(F.col("offset") == k, F.col("value"))).alias(name)
                 for name, k in OFFSETS.items()
             ],
+            *more,
         )
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ironlog.functions.parsing import strip
@@ -28,7 +28,10 @@ def reconcile_raw(
 
     Containment is an equality join: every cell text is cut into its substrings
     of the lengths that are asked for in that week.  The work is linear in the
-    number of distinct texts, and only real matches leave the join.
+    number of distinct texts.  Of the substrings only those move that hash to one of
+    64 values taken by a name of that length in that week, so few besides real matches.
+
+    Grid rows are made once; each distinct text takes its topmost row along.
     """
     week = [*sheet, "base_col"]
     keys = [*sheet, "Date", "Exercise"]
@@ -37,70 +40,55 @@ def reconcile_raw(
         *[F.col("Block").alias("block") if c == "block" else F.col(c) for c in sheet],
         "Date",
         "Exercise",
-        F.lower(strip(F.col("Exercise"))).alias("needle"),
     ).distinct()
 
     # a week lists its seven dates: "date within week" becomes equality
-    weeks = week_columns(cells, sheet)
-    dates = weeks.select(
+    dates = week_columns(cells, sheet).select(
         *week,
         F.explode(
             F.expr(f"sequence(week_start, date_add(week_start, {DAYS_PER_WEEK - 1}))")
         ).alias("Date"),
     )
-    wanted = asked.join(dates, [*sheet, "Date"])
-    needles = wanted.select(*week, "needle").distinct()
-    lengths = needles.select(*week, F.length("needle").alias("size")).distinct()
+    wanted = asked.join(dates, [*sheet, "Date"], "left").withColumn(
+        "needle", F.lower(strip(F.col("Exercise")))
+    )
 
-    # base column cells, each distinct text once with its topmost row
+    def bit(text: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({text}), 64) as int))")
+
+    lengths = (
+        wanted.filter(F.col("base_col").isNotNull() & F.col("needle").isNotNull())
+        .groupBy(*week, F.length("needle").alias("size"))
+        .agg(F.bit_or(bit("needle")).alias("bits"))
+    )
+
+    # texts of the base column, each once in a chunk of rows with its topmost row
+    fields = ("exercise", "load", "sets", "reps", "rpe", "notes")
+    text = F.when(F.col("offset") == 0, F.lower(strip(F.col("value"))))
+    rows = grid_rows(cells, sheet, more=[F.collect_set(text).alias("_texts")])
+    raw = F.struct(*[F.col(c).alias(f"raw_{c}") for c in fields])
+    top = F.min_by("_raw", "row_idx").alias("_raw"), F.min("row_idx").alias("row_idx")
     base = (
-        cells.filter(F.col("row_idx") >= FIRST_DATA_ROW)
-        .withColumnRenamed("col_idx", "base_col")
-        .join(weeks.select(*week), week, "left_semi")
-        .groupBy(*week, F.lower(strip(F.col("value"))).alias("text"))
-        .agg(F.min("row_idx").alias("row_idx"))
+        rows.select(*week, "week_start", "chunk", "row_idx", raw.alias("_raw"), F.explode("_texts").alias("text"))
+        .groupBy(*week, "week_start", "chunk", "text")
+        .agg(*top)
     )
     pieces = (
         base.join(lengths, week)
         .filter(F.col("size") <= F.length("text"))
-        .select(
-            *week,
-            "row_idx",
-            F.explode(
-                F.expr(
-                    "array_distinct(transform(sequence(1, length(text) - size + 1),"
-                    " i -> substring(text, i, size)))"
-                )
-            ).alias("needle"),
-        )
-    )
-    first = (
-        pieces.join(needles, [*week, "needle"], "left_semi")
-        .groupBy(*week, "needle")
-        .agg(F.min("row_idx").alias("row_idx"))
-    )
-    raw = grid_rows(cells, sheet).select(
-        *week,
-        "row_idx",
-        *[
-            F.col(c).alias(f"raw_{c}")
-            for c in ("exercise", "load", "sets", "reps", "rpe", "notes")
-        ],
-    )
-    hits = wanted.join(first, [*week, "needle"]).join(raw, [*week, "row_idx"])
-    found = (
-        hits.groupBy(*keys)
-        .agg(
-            F.min_by(
-                F.struct(*[c for c in raw.columns if c.startswith("raw_")]),
-                F.struct("base_col", "row_idx"),
-            ).alias("_raw")
-        )
-        .select(*keys, F.lit(True).alias("_hit"), "_raw.*")
+        .select("*", F.explode(F.expr("sequence(1, length(text) - size + 1)")).alias("_at"))
+        .withColumn("needle", F.expr("substring(text, _at, size)"))
+        .filter(F.col("bits").bitwiseAND(bit("needle")) != 0)
     )
+    first = pieces.groupBy(*week, "needle").agg(*top)
+    place = F.when(F.col("row_idx").isNotNull(), F.struct("base_col", "row_idx"))
     return (
-        asked.drop("needle")
-        .join(found, keys, "left")
-        .withColumn("found", F.coalesce("_hit", F.lit(False)))
-        .drop("_hit")
+        wanted.join(first, [*week, "needle"], "left")
+        .groupBy(*keys)
+        .agg(F.min_by("_raw", place).alias("_raw"), F.count("row_idx").alias("_hits"))
+        .select(
+            *keys,
+            *[F.col(f"_raw.raw_{c}").alias(f"raw_{c}") for c in fields],
+            (F.col("_hits") > 0).alias("found"),
+        )
     )

@@ -178,3 +178,32 @@ def _nodes(plan):
     for i in range(plan.children().size()):
         found += _nodes(plan.children().apply(i))
     return found
+
+
+def test_reconcile_lays_the_grid_out_once(spark, cells):
+    """The grid was joined with its weeks for the texts and again for the rows."""
+    log = nz.normalize(cells).limit(5).localCheckpoint()
+    nodes = _nodes(reconcile_raw(log, cells)._jdf.queryExecution().optimizedPlan())
+    assert sum(n.nodeName() == "RepartitionByExpression" for n in nodes) == 1
+    assert sum(n.nodeName() == "Join" for n in nodes) <= 5
+
+
+def test_reconcile_sees_every_text_of_a_place(spark):
+    data = [(1, "A", 1, 0, "2024-01-01"), (1, "A", 2, 0, "Day 1"), (1, "A", 9, 0, "squat, last")]
+    data += [(1, "A", 3, 0, t) for t in ("Squat", "Bench", "Row")] + [(1, "A", 3, 6, "100")]
+    grid = spark.createDataFrame(data, schemas.CELLS)
+    names = ("squat", "BENCH", "ro", "day 1", "s", "last", "snatch")
+    log = spark.createDataFrame(
+        [(1, "A", D(2024, 1, 2), n) for n in names] + [(1, "A", D(2024, 1, 9), "squat"), (None, None, None, None)],
+        "athlete_id int, Block string, Date date, Exercise string",
+    )
+    got = {(r.Exercise, r.Date): (r.found, r.raw_load, r.raw_exercise) for r in reconcile_raw(log, grid).collect()}
+    there = (True, "100", "Squat")
+    assert got == {
+        **{(n, D(2024, 1, 2)): there for n in ("squat", "BENCH", "ro", "s")},
+        ("day 1", D(2024, 1, 2)): (True, None, "Day 1"),
+        ("last", D(2024, 1, 2)): (True, None, "squat, last"),
+        ("snatch", D(2024, 1, 2)): (False, None, None),
+        ("squat", D(2024, 1, 9)): (False, None, None),
+        (None, None): (False, None, None),
+    }
