@@ -238,7 +238,7 @@ def test_a_sheet_in_many_splits(spark, tmp_path, split, whole):
         assert got[name] == _plain_cells(text.removeprefix("\ufeff")), name
 
 
-def _plain_cells(text):
+def _cells_by_field(text):
     """Cells of a CSV text, field by field."""
     field = re.compile(r'"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+')
     at, row, column, found = 0, 0, 0, set()
@@ -270,6 +270,6 @@ def test_sheets_of_one_file_are_cut_in_place(spark, tmp_path):
     for c in cells.collect():
         got[c.block].add((c.row_idx, c.col_idx, c.value))
     for name, text in texts.items():
-        assert got[name] == _plain_cells(text), text
+        assert got[name] == _cells_by_field(text), text
     plan = spark._jvm.PythonSQLUtils.explainString(cells._jdf.queryExecution(), "simple")
     assert not re.search("Exchange|Window|Sort", plan)
